@@ -21,22 +21,26 @@ FANOUT = 8
 FRONTIER = 2_000_000
 
 
-def fingerprint(words: list[bytes], size: int = SHINGLE) -> int:
-    """Bit i is 1 if set in over half of the shingles' XXH64; no words: 0."""
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     import xxhash
 
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     n = max(1, len(words) - size + 1)
     ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *ends[: n - 1].tolist()]
     stops = (ends[size - 1 :] - 1).tolist() if len(words) > size else [len(joined)]
-    h64, votes = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
-    for a in range(0, n, 65_536):  # a very long text in steps
-        hashes = np.array([h64(joined[s:e], SEED) for s, e in zip(starts[a : a + 65_536], stops[a : a + 65_536], strict=True)], dtype="<u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(sum(1 << i for i in np.flatnonzero(votes * 2 > n).tolist()))
+    h64 = xxhash.xxh64_intdigest
+    return np.array([h64(joined[s:e], SEED) for s, e in zip([0, *ends[: n - 1].tolist()], stops, strict=True)], dtype="<u8")
+
+
+def fingerprint(words: list[bytes], size: int = SHINGLE) -> int:
+    """Bit i is 1 if set in over half of the shingles' XXH64; no words: 0."""
+    hashes = shingle_hashes(words, size)
+    votes = np.zeros(64, dtype=np.int64)
+    for a in range(0, len(hashes), 65_536):  # a very long text in steps
+        votes += np.unpackbits(hashes[a : a + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def signed(x: int) -> int:
@@ -210,5 +214,114 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+NEAR_WORDS = 5
+SIMILARITY = 0.8
+#: Passages end, on average, every so many shingles, where a shingle's hash says so; each text is filed under this many of them.
+PASSAGE, FILED = 16, 10
+SHORTEST = 6
+BINS = 128
+#: Members of a group that all its members are compared with.
+LEADERS = 8
+SKETCH_SLACK = 0.15
+
+
+def passage_codes(hashes: np.ndarray) -> list[int]:
+    """SimHash fingerprints of a text's passages, the FILED with the smallest hashes.
+
+    Passages end after shingles whose hash is 0 modulo PASSAGE, so an edit changes those it touches and no others.
+    """
+    if not len(hashes):
+        return []
+    starts = np.append(0, np.flatnonzero(hashes[:-1] % np.uint64(PASSAGE) == 0) + 1)
+    sizes = np.diff(np.append(starts, len(hashes)))
+    codes = []
+    for a in range(0, len(starts), 4096):
+        at, n = starts[a : a + 4096], sizes[a : a + 4096]
+        bits = np.unpackbits(hashes[at[0] : at[-1] + n[-1]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        votes = np.add.reduceat(bits, at - at[0], axis=0, dtype=np.int64)
+        codes.append(np.packbits(votes * 2 > n[:, None], axis=1, bitorder="little").view("<u8").ravel()[(n >= SHORTEST) | (len(starts) == 1)])
+    found = np.unique(np.concatenate(codes))
+    return [signed(int(x)) for x in found[np.argsort((found ^ (found >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15), kind="stable")][:FILED]]
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """Least hash in each of BINS classes of hashes; a class without any holds the largest value."""
+    out = np.full(BINS, 0xFFFFFFFF, dtype="<u4")
+    np.minimum.at(out, (hashes >> np.uint64(57)).astype(np.int64), (hashes & np.uint64(0xFFFFFFFE)).astype("<u4"))
+    return out.tobytes()
+
+
+def sketch_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    x, y = (np.frombuffer(b"".join(s), "<u4").reshape(-1, BINS) for s in (a, b))
+    used = ((x != 0xFFFFFFFF) | (y != 0xFFFFFFFF)).sum(axis=1)
+    return pd.Series(((x == y) & (x != 0xFFFFFFFF)).sum(axis=1) / np.maximum(used, 1))
+
+
+def near_links(docs: DataFrame, text_col: str, distance: int = DISTANCE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(nodes: rid, at, id; links: a, b) of texts whose sets of five-word shingles are alike to ``similarity`` or more.
+
+    Texts meet if the hierarchical index links their fingerprints, or if they share a passage's fingerprint.
+    In such a group every text is compared with at most LEADERS others, the least by a hash of the group and
+    of the text, so a passage that many documents share costs in proportion to their number.
+    A sketch sorts out most pairs; the rest are checked exactly, on their whole texts.
+    """
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for rid, i, t in zip(b["rid"], b["id"], b["text"], strict=True):
+                words = t.encode().lower().split()
+                h = shingle_hashes(words, SHINGLE)
+                out.append((rid, i, signed(fingerprint(words)), passage_codes(h), sketch(shingle_hashes(words, NEAR_WORDS))))
+            yield pd.DataFrame(out, columns=["rid", "id", "fp", "codes", "sketch"])
+
+    keyed = docs.select(F.col("__rid").alias("rid"), F.col("__id").alias("id"), text_or_empty(text_col).alias("text"))
+    nodes = materialise(keyed.dropDuplicates(["rid"]).mapInPandas(of, f"rid bigint, id {keyed.schema['id'].dataType.simpleString()}, fp bigint, codes array<bigint>, sketch binary"), "near-nodes")
+    fps = nodes.select("fp").distinct()
+    roots = components(links(fps, fps.count(), distance))
+    alike = nodes.select("rid", "fp").join(roots, F.col("fp") == F.col("node"), "left").select(F.xxhash64(F.lit("text"), F.coalesce("root", "fp")).alias("g"), "rid")
+    shared = nodes.select(F.explode("codes").alias("c"), "rid").select(F.xxhash64(F.lit("passage"), "c").alias("g"), "rid")
+    members = materialise(alike.unionByName(shared).withColumn("mix", F.xxhash64("g", "rid")), "members")
+    leaders = members.groupBy("g", F.pmod("mix", F.lit(LEADERS)).alias("part")).agg(F.min(F.struct("mix", "rid")).alias("m"), F.count("*").alias("n"))
+    leaders = leaders.groupBy("g").agg(F.collect_list("m.rid").alias("leaders"), F.sum("n").alias("n")).where("n > 1").select("g", "leaders")
+    pairs = members.join(materialise(leaders, "leaders"), "g").select("rid", F.explode("leaders").alias("other")).where("rid != other")
+    pairs = pairs.select(F.greatest("rid", "other").alias("a"), F.least("rid", "other").alias("b")).distinct()
+    slim = nodes.select("rid", "sketch")
+    rated = pairs.join(slim.toDF("a", "sa"), "a").join(slim.toDF("b", "sb"), "b")
+    close = materialise(rated.where(F.pandas_udf(sketch_similarity, "double")("sa", "sb") >= similarity - SKETCH_SLACK).select("a", "b"), "close")
+    wanted = materialise(close.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "wanted")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"rid": b["rid"], "s": [np.unique(shingle_hashes(t.encode().lower().split(), NEAR_WORDS)).tobytes() for t in b["text"]]})
+
+    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0)
+        return pd.Series(out, dtype="float64")
+
+    texts = materialise(keyed.join(wanted, "rid", "left_semi").dropDuplicates(["rid"]).mapInPandas(sets, "rid bigint, s binary"), "shingles")
+    checked = close.join(texts.toDF("a", "sa"), "a").join(texts.toDF("b", "sb"), "b").where(F.pandas_udf(jaccard, "double")("sa", "sb") >= similarity)
+    return nodes.select("rid", "id"), checked.select("a", "b")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each near-duplicate group (the smallest id), with all their columns.
+
+    Blank texts are alike; nulls count as blank and null ids as smallest.  Repeated rows of one id and
+    text stay or go together.  An empty table stays empty.
+    """
+    rows = docs.withColumn("__id", F.col(f"`{id_col}`")).withColumn("__rid", F.xxhash64(F.coalesce(F.col("__id").cast("string"), F.lit("")), text_or_empty(text_col)))
+    nodes, near = near_links(rows, text_col, distance, similarity)
+    roots = components(near)
+    placed = materialise(nodes.join(roots, F.col("rid") == F.col("node")).select("rid", "id", "root"), "placed")
+    least = materialise(placed.groupBy("root").agg(F.min(F.struct("id", "rid")).alias("stays")), "stays")
+    gone = materialise(placed.join(least, "root").where(F.col("rid") != F.col("stays.rid")).select(F.col("rid").alias("__rid")), "gone")
+    return rows.join(gone, "__rid", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
+
