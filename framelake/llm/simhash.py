@@ -15,7 +15,7 @@ SHINGLE = 3
 DISTANCE = 2
 SEED = 42
 #: Fingerprints of one block of the index, about, and children of a node.
-BLOCK = 16_384
+BLOCK = 65_536
 FANOUT = 8
 #: Candidates that one step of a search holds at once.
 FRONTIER = 2_000_000
@@ -144,7 +144,8 @@ def links(codes: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
 
     Blocks of the index are the codes with equal upper bits, which is a range in Gray order, too; they
     are the index's uppermost nodes.  A code is searched in its own block and in each block whose
-    pattern differs in at most ``distance`` bits, so all other blocks are pruned before any row moves.
+    pattern differs in at most ``distance`` bits and is smaller (the other way round the pair is the
+    same), so all other blocks are pruned before any row moves.
     A block with many times the expected codes is dealt over slices, each with its own tree, and its
     queries visit them all.  Each code has at most 2,080 codes within two bits, and a task returns a
     forest, not pairs.
@@ -154,7 +155,8 @@ def links(codes: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
     masks = F.array(*[F.lit(m).cast("long") for m in routes(prefix, distance)])
     rows = codes.select("fp", block.alias("home"))
     large = materialise(rows.groupBy(F.col("home").alias("block")).agg(F.count("*").alias("n")).where(F.col("n") > 4 * BLOCK).select("block", F.ceil(F.col("n") / BLOCK).alias("slices")), "large-blocks")
-    asked = rows.select("fp", F.explode(masks).alias("m"), "home").select(F.expr("home ^ m").alias("block"), "fp", (F.col("m") == 0).alias("own"))
+    lower = F.filter(masks, lambda m: (m == 0) | (F.col("home").bitwiseXOR(m) < F.col("home")))
+    asked = rows.select("fp", F.explode(lower).alias("m"), "home").select(F.expr("home ^ m").alias("block"), "fp", (F.col("m") == 0).alias("own"))
     sliced = asked.join(large, "block", "left").withColumn("slices", F.coalesce("slices", F.lit(1).cast("long")))
     asked = sliced.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).select("block", "slice", "fp", (F.col("own") & (F.expr("pmod(xxhash64(fp), slices)") == F.col("slice"))).alias("own"))
 
@@ -166,7 +168,7 @@ def links(codes: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
             return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
         q, c = index.search(code, distance)
         a, b = code[q].view(np.int64), index.codes[c].view(np.int64)
-        return pd.DataFrame(forest(a[a > b], b[a > b]), columns=["a", "b"]) if (a > b).any() else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        return pd.DataFrame(forest(a[a != b], b[a != b]), columns=["a", "b"]) if (a != b).any() else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
 
     return asked.groupBy("block", "slice").applyInPandas(search, "a bigint, b bigint")
 
