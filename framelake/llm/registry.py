@@ -19,4 +19,4 @@ QUERIES = {
     "op10_bpe": bpe_codec.op10_bpe,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {**exact_dedup.ORACLE}
+ORACLES = {**exact_dedup.ORACLE, **warc.ORACLE}

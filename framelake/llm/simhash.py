@@ -256,7 +256,7 @@ def sketch(hashes: np.ndarray) -> bytes:
 def sketch_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     x, y = (np.frombuffer(b"".join(s), "<u4").reshape(-1, BINS) for s in (a, b))
     used = ((x != 0xFFFFFFFF) | (y != 0xFFFFFFFF)).sum(axis=1)
-    return pd.Series(((x == y) & (x != 0xFFFFFFFF)).sum(axis=1) / np.maximum(used, 1))
+    return pd.Series(np.where(used == 0, 1.0, ((x == y) & (x != 0xFFFFFFFF)).sum(axis=1) / np.maximum(used, 1)))  # blank texts are alike
 
 
 def near_links(docs: DataFrame, text_col: str, distance: int = DISTANCE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:

@@ -154,3 +154,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("metadata.page_id").alias("page_id"), F.coalesce("response.payload_bytes", "metadata.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"), F.when(F.col("response.type") == "revisit", F.col("metadata.refers_to_page")).alias("refers_to"),
     )
+
+
+ORACLE = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+             n AS (SELECT *, list_transform(range(40), lambda i: instr('0123456789abcdef', substr(x, i + 1, 1)) - 1) AS d, max(page_id) OVER (PARTITION BY x) AS last FROM p)
+        SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((((d[5 * i // 4 + 1] * 16 + d[5 * i // 4 + 2]) >> (3 - 5 * i % 4)) & 31))::BIGINT, 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+        FROM n"""
+}
