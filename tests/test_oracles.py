@@ -39,7 +39,7 @@ def test_every_query_has_sql():
 def test_query(spark, sf, duck, name):
     df = QUERIES[name](spark, sf)
     columns = sorted(df.columns)
-    got = [plain(tuple(r)) for r in df.select(columns).collect()]
+    got = [plain(tuple(r)) for r in df.select(*[f"`{c}`" for c in columns]).collect()]
     found = duck.execute(ORACLES[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
