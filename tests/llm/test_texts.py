@@ -103,6 +103,19 @@ def test_pii_redaction_of_many_and_overlapping_spans(spark):
     assert {r["doc_id"]: r["text"] for r in pii.redact(docs, pii.NOTHING).collect()} == {1: "[EMAIL], " * 90, 2: None, 3: "é [PHONE] x"}
 
 
+def test_pii_redaction_of_a_span_over_very_many(spark):
+    long = "_".join(["10.0.0.1"] * 3_000) + "@mail.example.org"
+    docs = spark.createDataFrame([(1, f"from {long} to {long}.")], "doc_id int, text string")
+    assert pii.redact(docs, pii.NOTHING).first()["text"] == "from [EMAIL] to [EMAIL]."
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1_000])
+def test_running_sums_and_maxima(spark, n):
+    x = np.random.default_rng(n).integers(0, 100, n).tolist()
+    got = spark.createDataFrame([(x,)], "x array<int>").select(pii.running(F.col("x")), pii.running(F.col("x"), fold=pii.largest, join=F.greatest)).first()
+    assert got[0] == np.cumsum(x).tolist() and got[1] == np.maximum.accumulate(np.array(x, dtype=int)).tolist()
+
+
 @pytest.mark.parametrize("which", ["documents", "hard"])
 def test_token_counts_and_cache(request, spark, which):
     docs, cache = request.getfixturevalue(which), new_path(spark, "cache")
