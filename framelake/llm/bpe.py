@@ -23,7 +23,9 @@ SPLIT_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SAFE_BYTES = re.compile("[^\x00-ɏΑ-ΡΣ-ϿЀ-ҁҊ-ԓ‐-‧ぁ-ゖァ-ヺ一-龥]")
 #: For lower-casing vocabularies narrower still: no character whose lower case or NFC form
 #: has another length or depends on its neighbours, and no control that only one library takes for white space.
-UNSAFE_WORDS = "[^\x01-\x1b\x20-\x7f¡-įı-ɏА-я]|<\\|"
+SAFE_WORDS = r"\A[\x01-\x1b\x20-\x7f¡-įı-ɏА-я]*+\z"
+#: SPLIT_WORDS for Java's matcher: alternatives that can't begin alike in the order of their frequency, and runs that never go back.
+JAVA_WORDS = r"\p{L}++|\p{N}|'(?:s|t|re|ve|m|ll|d)|[^\s\p{L}\p{N}]++"
 WORD_END = "\x00"
 
 

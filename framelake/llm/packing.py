@@ -82,7 +82,7 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[dict[int, tuple[
 
 def marked_words(text: Column) -> Column:
     """Lower case, each word of the vocabulary's split followed by its end mark; null where only the library itself will do."""
-    return F.when(~text.rlike(bpe.UNSAFE_WORDS), F.regexp_replace(F.lower(text), bpe.SPLIT_WORDS, "$0" + bpe.WORD_END))
+    return F.when(text.rlike(bpe.SAFE_WORDS) & ~text.contains("<|"), F.regexp_replace(F.lower(text), bpe.JAVA_WORDS, "$0" + bpe.WORD_END))
 
 
 def token_ids(codec: bpe.Codec, marked: str | None, text: str | None) -> np.ndarray:
