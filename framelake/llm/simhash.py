@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -218,84 +220,49 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 NEAR_WORDS = 5
 SIMILARITY = 0.8
-#: Passages end, on average, every so many shingles, where a shingle's hash says so; each text is filed under this many of them.
-PASSAGE, FILED = 16, 10
-SHORTEST = 6
-BINS = 128
-#: Members of a group that all its members are compared with.
-LEADERS = 8
-SKETCH_SLACK = 0.15
+#: Classes of shingles whose occurrences are counted for the order of a text's shingles (a power of two), and parts in which the counts travel.
+CLASSES, CLASS_PARTS = 1 << 20, 64
+#: 64-bit words of a set's parity bitmap.
+PARITY_WORDS = 8
 
 
-def passage_codes(hashes: np.ndarray) -> list[int]:
-    """SimHash fingerprints of a text's passages, the FILED with the smallest hashes.
+def prefix_size(n: int, similarity: float) -> int:
+    """Two sets alike to ``similarity`` share one of the first so many elements of each in any common order."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
-    Passages end after shingles whose hash is 0 modulo PASSAGE, so an edit changes those it touches and no others.
-    """
-    if not len(hashes):
-        return []
-    starts = np.append(0, np.flatnonzero(hashes[:-1] % np.uint64(PASSAGE) == 0) + 1)
-    sizes = np.diff(np.append(starts, len(hashes)))
-    codes = []
-    for a in range(0, len(starts), 4096):
-        at, n = starts[a : a + 4096], sizes[a : a + 4096]
-        bits = np.unpackbits(hashes[at[0] : at[-1] + n[-1]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes = np.add.reduceat(bits, at - at[0], axis=0, dtype=np.int64)
-        codes.append(np.packbits(votes * 2 > n[:, None], axis=1, bitorder="little").view("<u8").ravel()[(n >= SHORTEST) | (len(starts) == 1)])
-    found = np.unique(np.concatenate(codes))
-    return [signed(int(x)) for x in found[np.argsort((found ^ (found >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15), kind="stable")][:FILED]]
 
+def parity(hashes: np.ndarray) -> list[int]:
+    """Bit k says whether an odd number of elements fall on it; so two bitmaps differ in at most as many bits as their sets in elements."""
+    odd = np.bincount((hashes & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """Least hash in each of BINS classes of hashes; a class without any holds the largest value."""
-    out = np.full(BINS, 0xFFFFFFFF, dtype="<u4")
-    np.minimum.at(out, (hashes >> np.uint64(57)).astype(np.int64), (hashes & np.uint64(0xFFFFFFFE)).astype("<u4"))
-    return out.tobytes()
 
+def class_counts(sets: DataFrame) -> np.ndarray:
+    """Occurrences of shingles by class over all sets: an estimate of document frequency, from above."""
+    step = CLASSES // CLASS_PARTS
 
-def sketch_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    x, y = (np.frombuffer(b"".join(s), "<u4").reshape(-1, BINS) for s in (a, b))
-    used = ((x != 0xFFFFFFFF) | (y != 0xFFFFFFFF)).sum(axis=1)
-    return pd.Series(np.where(used == 0, 1.0, ((x == y) & (x != 0xFFFFFFFF)).sum(axis=1) / np.maximum(used, 1)))  # blank texts are alike
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(CLASSES, dtype="<i8")
+        for b in batches:
+            h = np.frombuffer(b"".join(b["s"]), "<u8")
+            total += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=CLASSES)
+        yield pd.DataFrame({"part": np.arange(CLASS_PARTS), "counts": [zlib.compress(total[k * step : (k + 1) * step].tobytes(), 1) for k in range(CLASS_PARTS)]})
 
+    def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(step, dtype="<i8")
+        for x in group["counts"]:
+            total += np.frombuffer(zlib.decompress(x), "<i8")
+        return pd.DataFrame({"part": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
-def near_links(docs: DataFrame, text_col: str, distance: int = DISTANCE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(nodes: rid, at, id; links: a, b) of texts whose sets of five-word shingles are alike to ``similarity`` or more.
+    found = sets.select("s").mapInPandas(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
+    out = np.zeros(CLASSES, dtype="<i8")
+    for r in found:
+        out[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
+    return out
 
-    Texts meet if the hierarchical index links their fingerprints, or if they share a passage's fingerprint.
-    In such a group every text is compared with at most LEADERS others, the least by a hash of the group and
-    of the text, so a passage that many documents share costs in proportion to their number.
-    A sketch sorts out most pairs; the rest are checked exactly, on their whole texts.
-    """
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for rid, i, t in zip(b["rid"], b["id"], b["text"], strict=True):
-                words = t.encode().lower().split()
-                h = shingle_hashes(words, SHINGLE)
-                out.append((rid, i, signed(fingerprint(words)), passage_codes(h), sketch(shingle_hashes(words, NEAR_WORDS))))
-            yield pd.DataFrame(out, columns=["rid", "id", "fp", "codes", "sketch"])
-
-    keyed = docs.select(F.col("__rid").alias("rid"), F.col("__id").alias("id"), text_or_empty(text_col).alias("text"))
-    nodes = materialise(keyed.dropDuplicates(["rid"]).mapInPandas(of, f"rid bigint, id {keyed.schema['id'].dataType.simpleString()}, fp bigint, codes array<bigint>, sketch binary"), "near-nodes")
-    fps = nodes.select("fp").distinct()
-    roots = components(links(fps, fps.count(), distance))
-    alike = nodes.select("rid", "fp").join(roots, F.col("fp") == F.col("node"), "left").select(F.xxhash64(F.lit("text"), F.coalesce("root", "fp")).alias("g"), "rid")
-    shared = nodes.select(F.explode("codes").alias("c"), "rid").select(F.xxhash64(F.lit("passage"), "c").alias("g"), "rid")
-    members = materialise(alike.unionByName(shared).withColumn("mix", F.xxhash64("g", "rid")), "members")
-    leaders = members.groupBy("g", F.pmod("mix", F.lit(LEADERS)).alias("part")).agg(F.min(F.struct("mix", "rid")).alias("m"), F.count("*").alias("n"))
-    leaders = leaders.groupBy("g").agg(F.collect_list("m.rid").alias("leaders"), F.sum("n").alias("n")).where("n > 1").select("g", "leaders")
-    pairs = members.join(materialise(leaders, "leaders"), "g").select("rid", F.explode("leaders").alias("other")).where("rid != other")
-    pairs = pairs.select(F.greatest("rid", "other").alias("a"), F.least("rid", "other").alias("b")).distinct()
-    slim = nodes.select("rid", "sketch")
-    rated = pairs.join(slim.toDF("a", "sa"), "a").join(slim.toDF("b", "sb"), "b")
-    close = materialise(rated.where(F.pandas_udf(sketch_similarity, "double")("sa", "sb") >= similarity - SKETCH_SLACK).select("a", "b"), "close")
-    wanted = materialise(close.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "wanted")
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"rid": b["rid"], "s": [np.unique(shingle_hashes(t.encode().lower().split(), NEAR_WORDS)).tobytes() for t in b["text"]]})
 
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are alike to ``similarity`` or more, checked on the whole sets."""
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b, strict=True):
@@ -304,9 +271,77 @@ def near_links(docs: DataFrame, text_col: str, distance: int = DISTANCE, similar
             out.append(both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0)
         return pd.Series(out, dtype="float64")
 
-    texts = materialise(keyed.join(wanted, "rid", "left_semi").dropDuplicates(["rid"]).mapInPandas(sets, "rid bigint, s binary"), "shingles")
-    checked = close.join(texts.toDF("a", "sa"), "a").join(texts.toDF("b", "sb"), "b").where(F.pandas_udf(jaccard, "double")("sa", "sb") >= similarity)
-    return nodes.select("rid", "id"), checked.select("a", "b")
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "wanted")
+    texts = materialise(sets.join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "shingles")
+    rated = pairs.join(texts.toDF("a", "sa"), "a").join(texts.toDF("b", "sb"), "b")
+    return materialise(rated.where(F.pandas_udf(jaccard, "double")("sa", "sb") >= similarity).select("a", "b"), "alike")
+
+
+def near_links(docs: DataFrame, text_col: str, distance: int = DISTANCE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(nodes: rid, id, sid; links: a, b over sid) that connect exactly what pairs of sets of five-word shingles alike to ``similarity`` or more connect.
+
+    Texts with equal sets are one node, sid.  Two alike sets share one of the first ``prefix_size``
+    shingles of each in any order that all texts use; the order is by frequency, so these are the rarest.
+    First, in each group (one shingle in the prefix, or fingerprints that the hierarchical index links)
+    all are compared with the least, which mostly makes one component of a cluster of copies.  Then
+    every pair that shares such a shingle and isn't yet in one component is compared, whatever the
+    group's size.  Only proven bounds sort out pairs: sizes, places in the order, parity bitmaps.
+    """
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for b in batches:
+            out = []
+            for rid, i, t in zip(b["rid"], b["id"], b["text"], strict=True):
+                words = t.encode().lower().split()
+                h = np.unique(shingle_hashes(words, NEAR_WORDS))
+                s = h.tobytes()
+                out.append((rid, i, signed(xxhash.xxh64_intdigest(s)), signed(fingerprint(words)), len(h), parity(h), s))
+            yield pd.DataFrame(out, columns=["rid", "id", "sid", "fp", "n", "bits", "s"])
+
+    keyed = docs.select(F.col("__rid").alias("rid"), F.col("__id").alias("id"), text_or_empty(text_col).alias("text"))
+    nodes = materialise(keyed.mapInPandas(of, f"rid bigint, id {keyed.schema['id'].dataType.simpleString()}, sid bigint, fp bigint, n int, bits array<bigint>, s binary"), "near-nodes")
+    sets = nodes.select("sid", "s")
+    slim = materialise(nodes.select("sid", "n", "fp", "bits").dropDuplicates(["sid"]), "near-sets")
+    counts = docs.sparkSession.sparkContext.broadcast(class_counts(sets))
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys, sizes = [], []
+            for s in b["s"]:
+                h = np.frombuffer(s, "<u8")
+                keys.append(h[np.lexsort((h, counts.value[(h >> np.uint64(44)).astype(np.int64)]))[: prefix_size(len(h), similarity)]])
+                sizes.append(len(keys[-1]))
+            if sum(sizes):
+                yield pd.DataFrame({"g": np.concatenate(keys).view("<i8"), "sid": np.repeat(b["sid"].to_numpy(), sizes), "at": np.concatenate([np.arange(k, dtype="<i4") for k in sizes])})
+
+    filed = sets.mapInPandas(prefixes, "g bigint, sid bigint, at int")
+    filed = materialise(filed, "filed")
+    shared = materialise(filed.groupBy("g").agg(F.min("sid").alias("lead"), F.max("sid").alias("last")).where("lead < last").select("g", "lead"), "shared")
+    members = materialise(filed.join(shared, "g").distinct(), "members")
+
+    fps = slim.select("fp").distinct()
+    roots = components(links(fps, fps.count(), distance))
+    linked = slim.select("sid", "fp").join(roots, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("g"), "sid")
+    led = linked.groupBy("g").agg(F.min("sid").alias("lead"), F.max("sid").alias("last")).where("lead < last")
+    stars = members.select("sid", "lead").unionByName(linked.join(led, "g").select("sid", "lead")).where("sid != lead")
+    part = similarity / (1 + similarity)
+    bound = f"(n + m) * {1 - 2 * part} + 1e-6"  # most elements that alike sets of n and m differ in
+    unlike = " + ".join(f"bit_count(bits[{k}] ^ others[{k}])" for k in range(PARITY_WORDS))
+    other = slim.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("others"))
+    stars = stars.select(F.col("sid").alias("a"), F.col("lead").alias("b")).distinct().join(slim.select(F.col("sid").alias("a"), "n", "bits"), "a").join(other, "b")
+    first = alike(materialise(stars.where(f"{unlike} <= {bound}").select("a", "b"), "stars"), sets, similarity)
+
+    comps = components(first)
+    placed = members.select("g", "sid", "at").join(comps, F.col("sid") == F.col("node"), "left").select("g", "sid", "at", F.coalesce("root", "sid").alias("c"))
+    placed = materialise(placed.join(slim.select("sid", "n", "bits"), "sid"), "placed-members")
+    apart = materialise(placed.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("g"), "apart")
+    left = materialise(placed.join(apart, "g", "left_semi"), "left")
+    right = left.select("g", F.col("sid").alias("other"), F.col("at").alias("place"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("bits").alias("others"))
+    meets = f"sid < other and c != d and least(n - at, m - place) >= (n + m) * {part} - 1e-6"  # at the first shingle in common, at most those after it are common
+    rest = left.join(right, "g").where(f"{meets} and {unlike} <= {bound}").select(F.col("sid").alias("a"), F.col("other").alias("b")).distinct()
+    second = alike(materialise(rest, "rest"), sets, similarity)
+    return nodes.select("rid", "id", "sid"), first.unionByName(second)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
@@ -318,12 +353,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.withColumn("__id", F.col(f"`{id_col}`")).withColumn("__rid", F.xxhash64(F.coalesce(F.col("__id").cast("string"), F.lit("")), text_or_empty(text_col)))
     nodes, near = near_links(rows, text_col, distance, similarity)
     roots = components(near)
-    placed = materialise(nodes.join(roots, F.col("rid") == F.col("node")).select("rid", "id", "root"), "placed")
-    least = materialise(placed.groupBy("root").agg(F.min(F.struct("id", "rid")).alias("stays")), "stays")
-    gone = materialise(placed.join(least, "root").where(F.col("rid") != F.col("stays.rid")).select(F.col("rid").alias("__rid")), "gone")
+    placed = materialise(nodes.join(roots, F.col("sid") == F.col("node"), "left").select("rid", "id", F.coalesce("root", "sid").alias("root")), "placed")
+    least = materialise(placed.groupBy("root").agg(F.min(F.struct("id", "rid")).alias("stays"), F.count("*").alias("n")).where("n > 1").select("root", "stays"), "stays")
+    gone = materialise(placed.join(least, "root").where(F.col("rid") != F.col("stays.rid")).select(F.col("rid").alias("__rid")).distinct(), "gone")
     return rows.join(gone, "__rid", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
-

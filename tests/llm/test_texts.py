@@ -293,6 +293,32 @@ def test_near_copies(spark):
     assert got == {10 * k for k in range(20)} | {10 * k + 2 for k in range(20)} | {900, 902, None}
 
 
+def test_short_and_crowded_near_copies(spark):
+    """Edited texts of 13 to 80 words, and copies that only meet in groups of one shared footer, against all pairs."""
+    r = np.random.default_rng(7)
+    text = lambda n: [f"w{x}" for x in r.integers(0, 5000, n)]
+    edited = lambda t, k: [*t[:k], "new", *t[k + 1 :]]
+    words = []
+    for n in range(13, 81):
+        base = text(n)
+        words += [base, edited(base, n - 1), edited(base, n // 2)]
+    footer = text(60)
+    for _ in range(60):
+        own = text(8)
+        words += [own + footer, edited(own, 4) + footer]
+    a, b = text(50), text(50)
+    words += [a, edited(a, 2), edited(edited(a, 2), 47), b, b + text(12), b[6:]]  # a chain, and other lengths
+    sets = [{" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for w in words]
+    root = list(range(len(sets)))
+    for x in range(len(sets)):
+        for y in range(x):
+            if len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= 0.8 and root[x] != root[y]:
+                low, high = sorted((root[x], root[y]))
+                root = [low if k == high else k for k in root]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(words)], "doc_id long, text string")
+    assert {x["doc_id"] for x in simhash.drop_near_copies(docs).collect()} == set(root)
+
+
 @pytest.mark.parametrize("which", ["documents", "hard"])
 def test_merkle(request, which):
     docs = request.getfixturevalue(which)
