@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +16,6 @@ from .common import materialise, table
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.95
-#: Tokens of a URL that are mined; the rest still match nothing.  With MIN_SUPPORT it bounds the itemsets.
-MAX_TOKENS = 10
 BLOCK = "verdict=block"
 
 
@@ -50,39 +50,69 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.concat(*parts), lambda x: x.isNotNull())))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[dict]:
-    """Rules {tokens, confidence, support, pivot} from (tokens, blocked).
+def frequent_tokens(labelled: DataFrame, least: int) -> list[list[tuple[str, int]]]:
+    """Classes of (token, count) of the tokens that at least ``least`` rows hold; tokens of a class are in exactly the same rows.
+
+    A row holds few tokens, so at most average length / MIN_SUPPORT of them are frequent whatever the input's size.
+    """
+    rows = labelled.select("tokens", F.xxhash64("tokens", "blocked").alias("x"), F.xxhash64("blocked", "tokens").alias("y")).select(F.explode("tokens").alias("token"), "x", "y")
+    cover = [F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("x", "y")]
+    classes: dict[tuple, list[tuple[str, int]]] = {}
+    for r in sorted(rows.groupBy("token").agg(F.count("*").alias("n"), *cover).where(F.col("n") >= least).collect()):
+        classes.setdefault((r["n"], r["x"], r["y"]), []).append((r["token"], r["n"]))
+    return list(classes.values())
+
+
+def rule_table(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """Rules (tokens, confidence, support, pivot) from (tokens, blocked).
 
-    FP-growth runs on all labelled URLs.  At most 2**MAX_TOKENS / min_support itemsets can be
-    frequent whatever the input's size, so they may be collected.  A rule goes if its support or
-    confidence is too low, or if fewer of its tokens are as confident.  The pivot is its rarest token.
+    FP-growth runs on all labelled URLs with all their frequent tokens.  A rule goes if its support or
+    confidence is too low, or if fewer of its tokens are as confident.  So tokens that occur in exactly
+    the same rows never make a rule together: one of them is mined, and its rules hold for each.
+    The pivot is a rule's rarest token.  Itemsets and rules stay tables.
     """
-    items = labelled.select(F.when(F.col("blocked"), F.array_append(F.slice("tokens", 1, MAX_TOKENS), F.lit(BLOCK))).otherwise(F.slice("tokens", 1, MAX_TOKENS)).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support).fit(items)
-    frequency = {frozenset(r["items"]): r["freq"] for r in model.freqItemsets.collect()}
-    total, kept, best = labelled.count(), {}, {}
-    for items, n in sorted(frequency.items(), key=lambda x: (len(x[0]), sorted(x[0]))):
-        tokens = items - {BLOCK}
-        if BLOCK not in items or not tokens:
-            continue
-        confidence = n / frequency[tokens]
-        above = max((best.get(tokens - {t}, 0.0) for t in tokens), default=0.0)  # of any part of the tokens
-        best[tokens] = max(above, confidence)
-        if confidence >= min_confidence and confidence > above:
-            kept[tokens] = (n / total, confidence)
-    return [{"tokens": sorted(t), "support": s, "confidence": c, "pivot": min(sorted(t), key=lambda x: frequency[frozenset([x])])} for t, (s, c) in kept.items()]
-
-
-def match_rules(token_sets: DataFrame, rules: list[dict]) -> DataFrame:
+    total = labelled.count()
+    classes = frequent_tokens(labelled, math.ceil(min_support * total)) if total else []
+    names = F.from_json(F.lit(json.dumps({c[0][0]: [{"n": n, "token": t} for t, n in c] for c in classes})), "map<string,array<struct<n:bigint,token:string>>>")
+    mined = F.array(*[F.lit(c[0][0]) for c in classes]).cast("array<string>")
+    baskets = labelled.select(F.array_intersect("tokens", mined).alias("tokens"), "blocked")
+    items = baskets.select(F.when(F.col("blocked"), F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens")).alias("items"))
+    found = materialise(FPGrowth(itemsCol="items", minSupport=min_support).fit(items).freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
+    sets = found.where(~F.array_contains("items", BLOCK)).select(F.col("items").alias("t"), F.col("freq").alias("all"))
+    hits = found.where(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(F.array_remove("items", BLOCK).alias("t"), "freq")
+    rated = materialise(hits.join(sets, "t").select("t", "freq", (F.col("freq") / F.col("all")).alias("confidence")), "rated")
+    best, kept = None, []
+    for size in range(1, 1 + (rated.agg(F.max(F.size("t"))).first()[0] or 0)):
+        level = rated.where(F.size("t") == size).withColumn("above", F.lit(0.0))
+        if best is not None:  # of any part of the tokens
+            parts = level.select("t", F.explode(F.transform("t", lambda x: F.array_remove("t", x))).alias("part")).join(best, "part").groupBy("t").agg(F.max("best").alias("above"))
+            level = level.drop("above").join(parts, "t")
+        level = materialise(level, "level")
+        best = level.select(F.col("t").alias("part"), F.greatest("above", "confidence").alias("best"))
+        kept.append(level.where((F.col("confidence") >= min_confidence) & (F.col("confidence") > F.col("above"))).select("t", "freq", "confidence"))
+    rules = reduce(DataFrame.unionByName, kept) if kept else rated.select("t", "freq", "confidence")
+    none = F.array(F.array().cast("array<struct<n:bigint,token:string>>"))
+    each = F.aggregate("t", none, lambda done, x: F.flatten(F.transform(done, lambda d: F.transform(names[x], lambda m: F.array_append(d, m)))))
+    rules = rules.select(F.explode(each).alias("r"), "freq", "confidence")
+    return materialise(rules.select(F.array_sort(F.transform("r", lambda m: m["token"])).alias("tokens"), (F.col("freq") / F.lit(max(total, 1))).alias("support"), "confidence", F.array_min("r")["token"].alias("pivot")), "rules")
+
+
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[dict]:
+    """The rows of ``rule_table`` as a list, to look at."""
+    return [r.asDict() for r in rule_table(labelled, min_support, min_confidence).collect()]
+
+
+def match_rules(token_sets: DataFrame, rules: DataFrame | list[dict]) -> DataFrame:
     """(tokens, mined) for the distinct token sets that a rule fits, with the most confident rule's text.
 
     Inverted index: each rule is listed under its rarest token only; a set looks up its tokens and
-    checks the rest of each listed rule.  The index has a proven bound (see mine_rules) and is broadcast.
+    checks the rest of each listed rule.
     """
-    spark = token_sets.sparkSession
-    index = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rules)), "array<struct<pivot:string,tokens:array<string>,confidence:double>>")).alias("r")).select("r.pivot", F.col("r.tokens").alias("need"), "r.confidence")
+    if not isinstance(rules, DataFrame):
+        rules = token_sets.sparkSession.createDataFrame([(r["pivot"], r["tokens"], r["confidence"]) for r in rules], "pivot string, tokens array<string>, confidence double")
+    index = rules.select("pivot", F.col("tokens").alias("need"), "confidence")
     sets = token_sets.select("tokens").distinct()
-    found = sets.withColumn("pivot", F.explode("tokens")).join(F.broadcast(index), "pivot").where(F.size(F.array_except("need", "tokens")) == 0)
+    found = sets.withColumn("pivot", F.explode("tokens")).join(index, "pivot").where(F.size(F.array_except("need", "tokens")) == 0)
     return found.groupBy("tokens").agg(F.max(F.struct("confidence", F.concat_ws(" & ", "need").alias("text"))).alias("best")).select("tokens", F.col("best.text").alias("mined"))
 
 
@@ -103,7 +133,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None
     rows = parsed(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))).drop("url")
     rows = materialise(rows, "urls")
     examples = rows.where("fit is not null").select("tokens", (F.col("fit.verdict") == "block").alias("blocked")) if labelled is None else parsed(labelled).select("tokens", "blocked")
-    mined = mine_rules(examples)
+    mined = rule_table(examples)
     hits = materialise(match_rules(rows.where("fit is null"), mined), "hits")
     judged = rows.where("fit is null").join(hits, "tokens", "left").select("id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("mined").isNull(), "allow").otherwise("block").alias("verdict"), "mined")
     ruled = rows.where("fit is not null").select("id", "host", "path", "fit.rule", "fit.verdict", F.lit(None).cast("string").alias("mined"))

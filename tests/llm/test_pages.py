@@ -97,6 +97,13 @@ def test_mined_rules_against_all_subsets(spark):
     assert {tuple(r["tokens"]): r["mined"] for r in url_filter.match_rules(urls, rules).collect()} == {("a", "b", "x"): "a & b", ("d",): "d"}
 
 
+def test_rules_from_all_tokens_of_long_urls(spark):
+    keys = [f"query:k{k:02}" for k in range(30)]  # always together: 2**30 itemsets, but only single tokens can be rules
+    sets = [(["host:a", "path:z"], True)] * 20 + [(["host:a", *keys, "path:z"], False)] * 20 + [([*keys, "query:bad"], True)] * 20 + [([*keys[:12], "x"], False)] * 20
+    rules = url_filter.mine_rules(spark.createDataFrame(sets, "tokens array<string>, blocked boolean"), 0.05, 0.95)
+    assert [(r["tokens"], r["support"], r["confidence"]) for r in rules] == [(["query:bad"], 0.25, 1.0)]
+
+
 def test_labels_teach_new_hosts(spark):
     labelled = spark.createDataFrame([(f"http://casino.org/p{k}", True) for k in range(50)] + [(f"http://school.org/p{k}", False) for k in range(50)], "url string, blocked boolean")
     pages = spark.createDataFrame([(1, "http://casino.org/x"), (2, "http://school.org/x")], "page_id int, url string")
