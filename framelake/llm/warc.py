@@ -41,35 +41,38 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """Write a request, a response or revisit, and a metadata record per row to gzipped WARC files under ``path``.
 
     Of rows with equal payloads of at least ``min_bytes``, the one with the largest id is the response
-    and the others are revisits that refer to it; smaller payloads are always responses.  Spark's own
+    and the others are revisits that refer to it; smaller payloads are always responses.  Each row is a
+    capture of its own, also where rows repeat: its identifiers come from a UUID that is written with
+    the row first, so that replays keep them.  Of several responses of the largest id, revisits refer to one.  Spark's own
     text sink writes the files, with the record separator as line separator, so that task retries,
     speculation and commits work as for any table on any file system.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(text_or_empty(url_col), r"[\x00-\x20\x7f]", "%20").alias("url"), text_or_empty(html_col).alias("html"))
+    rows = materialise(rows.withColumn("uid", F.expr("uuid()")), "uids")
     rows = rows.withColumn("digest", base32_sha1(F.col("html"))).withColumn("size", F.octet_length("html"))
-    repeated = rows.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    repeated = rows.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.max(F.struct("id", "uid")).alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("last.id").alias("first"), F.col("last.uid").alias("first_uid"))
     rows = rows.join(materialise(repeated, "payloads"), "digest", "left").withColumn("revisit", F.coalesce((F.col("size") >= min_bytes) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.lit(False)))
 
     def urn(kind: str, of: Column) -> Column:
-        key = F.md5(F.concat_ws("|", F.coalesce(of.cast("string"), F.lit("")), "digest", F.lit(kind)))
+        key = F.md5(F.concat_ws("|", of, "digest", F.lit(kind)))
         dashed = F.concat_ws("-", *[F.substring(key, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
         return F.concat(F.lit("<urn:uuid:"), dashed, F.lit(">"))
 
-    me, uri, when = urn("response", F.col("id")), header("WARC-Target-URI", F.col("url")), header("WARC-Date", F.lit(date))
+    me, uri, when = urn("response", F.col("uid")), header("WARC-Target-URI", F.col("url")), header("WARC-Date", F.lit(date))
     host = F.regexp_extract("url", r"^[^:]*://([^/?#]*)", 1)
     target = F.regexp_extract("url", r"^[^:]*://[^/?#]*([^#]*)", 1)
     asked = record(
-        [header("WARC-Type", F.lit("request")), header("WARC-Record-ID", urn("request", F.col("id"))), header("WARC-Concurrent-To", me), uri, when, F.lit("Content-Type: application/http; msgtype=request")],
+        [header("WARC-Type", F.lit("request")), header("WARC-Record-ID", urn("request", F.col("uid"))), header("WARC-Concurrent-To", me), uri, when, F.lit("Content-Type: application/http; msgtype=request")],
         F.concat(F.lit("GET "), F.when(target.startswith("/"), target).otherwise(F.concat(F.lit("/"), target)), F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(CRLF * 2)),
     )
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("size").cast("string"), F.lit(CRLF * 2))
     common = [header("WARC-Record-ID", me), uri, when, header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")), F.lit("Content-Type: application/http; msgtype=response")]
     answered = F.when(
         F.col("revisit"),
-        record([F.lit("WARC-Type: revisit"), *common, header("WARC-Refers-To", urn("response", F.col("first"))), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")], http),
+        record([F.lit("WARC-Type: revisit"), *common, header("WARC-Refers-To", urn("response", F.col("first_uid"))), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")], http),
     ).otherwise(record([F.lit("WARC-Type: response"), *common], F.concat(http, F.col("html"))))
     noted = record(
-        [F.lit("WARC-Type: metadata"), header("WARC-Record-ID", urn("metadata", F.col("id"))), header("WARC-Concurrent-To", me), uri, when, F.lit("Content-Type: application/warc-fields")],
+        [F.lit("WARC-Type: metadata"), header("WARC-Record-ID", urn("metadata", F.col("uid"))), header("WARC-Concurrent-To", me), uri, when, F.lit("Content-Type: application/warc-fields")],
         F.concat(
             F.lit("page-id: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(f"{CRLF}payload-length: "), F.col("size").cast("string"),
             F.when(F.col("revisit"), F.concat(F.lit(f"{CRLF}refers-to-page: "), F.coalesce(F.col("first").cast("string"), F.lit("")))).otherwise(""), F.lit(CRLF),
@@ -132,8 +135,7 @@ def captures(records: DataFrame) -> DataFrame:
     """One nested row per capture: record_id, request, response, metadata.
 
     Request and metadata records meet the response (or revisit) that they are concurrent to; a
-    capture without one of them has null there.  Repeated records of one id count once, so repeated
-    rows of one page and payload are one capture.
+    capture without one of them has null there.  Repeated records of one id (replays) count once.
     """
     def side(kind: str, columns: list[str]) -> DataFrame:
         of = records.where(F.col("type") == kind).where("concurrent_to is not null")

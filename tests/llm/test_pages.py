@@ -47,6 +47,18 @@ def test_warc(request, spark, sf, which):
         assert r["request"]["id"] and x["http_status"] == 200
 
 
+def test_each_row_is_a_capture(spark):
+    rows = [(1, "http://a/1", "same"), (1, "http://a/1", "same"), (1, "http://a/2", "same"), (0, "http://a/3", "same"), (None, "http://a/4", ""), (None, "http://a/5", ""), (None, None, None)]
+    path = new_path(spark, "warc")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    records = warc.read_records(spark, path)
+    assert records.select("record_id").distinct().count() == records.count() == 3 * len(rows)
+    got = warc.captures(records.unionByName(records)).collect()  # a replay adds nothing
+    assert sorted((r["metadata"]["page_id"] is None, r["metadata"]["page_id"] or 0, r["response"]["target_uri"]) for r in got) == sorted((i is None, i or 0, u or "") for i, u, _ in rows)
+    answers = {r["record_id"]: r["response"]["type"] for r in got}
+    assert [answers[r["refers_to"]] for r in records.where("type = 'revisit'").collect()] == ["response"]
+
+
 def test_small_payloads_are_responses(spark):
     pages = spark.createDataFrame([(k, "http://a/", "same") for k in range(5)], "page_id long, url string, html string")
     path = new_path(spark, "warc")
