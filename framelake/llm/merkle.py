@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
 
-#: Words of a leaf; a leaf never crosses a paragraph's end.
-LEAF_WORDS = 8
+#: Words of a leaf; a leaf never crosses a paragraph's end.  A longer run without white space counts as words of so many characters.
+LEAF_WORDS, WORD_CHARS = 8, 32
 #: A section ends after a paragraph whose hash is 0 modulo this, so that an edit moves no other section's borders.
 SECTION_PARAGRAPHS = 8
 #: Text in one block of neighbours, about, and most blocks (their borders go through the driver).
@@ -20,7 +20,7 @@ def leaves_of(text: Column) -> Column:
     """Paragraphs as arrays of 24-bit leaf hashes: array<array<int>>."""
     return F.transform(
         F.split(text, "\n"),
-        lambda p: F.transform(F.regexp_extract_all(p, F.lit(rf"(?:\S+\s*){{1,{LEAF_WORDS}}}"), F.lit(0)), lambda w: F.xxhash64(w).bitwiseAND(F.lit(0xFFFFFF)).cast("int")),
+        lambda p: F.transform(F.regexp_extract_all(p, F.lit(rf"(?:\S{{1,{WORD_CHARS}}}\s*){{1,{LEAF_WORDS}}}"), F.lit(0)), lambda w: F.xxhash64(w).bitwiseAND(F.lit(0xFFFFFF)).cast("int")),
     )
 
 

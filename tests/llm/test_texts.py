@@ -339,6 +339,13 @@ def test_merkle(request, which):
     assert bag((r["doc_id"], r["fingerprint"]) for r in merkle.fingerprint_documents(docs).collect()) == bag((r["doc_id"], r["fingerprint"]) for r in got)
 
 
+def test_leaves_of_unspaced_texts(spark):
+    r = np.random.default_rng(9)
+    rows = [(k, "".join(chr(0x4E00 + x) for x in r.integers(0, 5000, 8_000))) for k in range(3)]
+    got = merkle.edited_fingerprints(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert all(0.7 < x["near_edited"] < 0.8 and x["near_next"] < 0.01 for x in got)
+
+
 def test_differing_branches_locate_an_edit(spark):
     lines = [f"paragraph {k} has the words number {k * k} and some more of its own" for k in range(80)]
     docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join([*lines[:40], "an edited paragraph", *lines[41:]]))], "doc_id int, text string")
