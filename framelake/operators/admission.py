@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,12 +23,27 @@ def admit(times: Iterable[int], limit: int, window: int, accepted: Iterable[int]
 
 
 def admission(requests: DataFrame, keys: list[str], at: str, order: str, limit: int, window_seconds: int) -> DataFrame:
-    """(keys, order, accepted) per request.  Each decision hangs on those before it, so a key is one group; only times and ids are gathered."""
+    """(keys, order, accepted) per request.
+
+    A request more than a window after the one before it finds no accepted ones, so there a key's requests
+    are cut into runs; runs are dealt out, and sorted ones stream through a task that only keeps the
+    accepted times in the window.  Sorts and windows spill, so no key has to fit in memory.
+    """
+    window = window_seconds * 1_000_000
     slim = requests.select(*keys, order, F.unix_micros(F.col(at).cast("timestamp")).alias("__t"))
     schema = ", ".join(f"`{n}` {t}" for n, t in slim.dtypes if n != "__t") + ", accepted boolean"
-
-    def per_key(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["__t", order])
-        return g.drop(columns="__t").assign(accepted=admit(g["__t"].tolist(), limit, window_seconds * 1_000_000)[0])
-
-    return slim.groupBy(*keys).applyInPandas(per_key, schema)
+    by = Window.partitionBy(*keys).orderBy(F.col("__t").asc_nulls_last(), order)
+    slim = slim.withColumn("__starts", (F.row_number().over(by) == 1) | F.coalesce(F.col("__t") - F.lag("__t").over(by) > window, F.lit(False)))
+    slim = slim.withColumn("__run", F.sum(F.col("__starts").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[int] = []
+        for b in batches:
+            times, cuts, accepted = b["__t"].tolist(), [0, *[k for k in b["__starts"].to_numpy().nonzero()[0].tolist() if k], len(b)], []
+            for a, e in zip(cuts, cuts[1:], strict=False):
+                got, kept = admit(times[a:e], limit, window, () if a < e and b["__starts"].iloc[a] else kept)
+                accepted += got
+            yield b.drop(columns=["__t", "__starts", "__run"]).assign(accepted=accepted)
+
+    dealt = slim.repartition(*keys, "__run").sortWithinPartitions(*keys, "__run", F.col("__t").asc_nulls_last(), F.col("__starts").desc(), order)
+    return dealt.mapInPandas(step, schema)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -17,6 +17,9 @@ TRANSITIONS = {
     "pending": {"processing", "transcoding", "failed"}, "transcoding": {"completed", "failed"}, "processing": {"completed", "failed"}, "completed": {"archived"}, "failed": set(), "archived": set(),
 }
 
+#: Events of one array.
+CHUNK = 1_000
+
 
 def admission_stream(requests: DataFrame, key: str, at: str, order: str, limit: int, window_seconds: int) -> DataFrame:
     """As ``operators.admission`` over a stream: accepted times are the state, and a key idle for a window is forgotten."""
@@ -40,15 +43,36 @@ def next_status(now: str, asked: str) -> str:
 
 
 def lifecycle(events: DataFrame, key: str, seq: str, status: str) -> DataFrame:
-    """(key, status, steps) after all events in order; a transition that isn't allowed is ignored."""
-    ordered = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(status).alias("to")))).alias("e"))
+    """(key, status, steps) after all events in order; a transition that isn't allowed is ignored.
+
+    Events in order are cut into chunks of CHUNK.  A chunk becomes a map from each status before it to
+    (status after it, steps); CHUNK maps in turn become one, so no array grows with a key's events before
+    the last one, which has an entry for each CHUNK * CHUNK of them.
+    """
+    states = list(TRANSITIONS)
     allowed = F.create_map(*[x for k, v in TRANSITIONS.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in sorted(v)]).cast("array<string>"))])
+    same = F.array(*[F.struct(F.lit(s).alias("status"), F.lit(0).alias("steps")) for s in states])
 
     def step(state, event):  # noqa: ANN001, ANN202
-        ok = F.array_contains(allowed[state["status"]], event["to"])
-        return F.struct(F.when(ok, event["to"]).otherwise(state["status"]).alias("status"), (state["steps"] + ok.cast("int")).alias("steps"))
+        ok = F.coalesce(F.array_contains(allowed[state["status"]], event), F.lit(False))
+        return F.struct(F.when(ok, event).otherwise(state["status"]).alias("status"), (state["steps"] + ok.cast("int")).alias("steps"))
+
+    def after(done, chunk):  # noqa: ANN001, ANN202
+        then = lambda x: F.get(chunk, F.array_position(F.lit(states), x["status"]).cast("int") - 1)
+        return F.transform(done, lambda x: F.struct(then(x)["status"].alias("status"), (x["steps"] + then(x)["steps"]).alias("steps")))
+
+    place = F.row_number().over(Window.partitionBy(key).orderBy(seq, status)) - 1
+    rows = events.select(key, seq, status, place.alias("__i")).withColumn("__c", F.floor(F.col("__i") / CHUNK))
+    chunks = rows.groupBy(key, "__c").agg(F.array_sort(F.collect_list(F.struct(F.col("__i").alias("i"), F.col(status).alias("to")))).alias("e"))
+    maps = chunks.select(key, "__c", F.aggregate(F.transform("e", lambda x: x["to"]), same, lambda done, to: F.transform(done, lambda x: step(x, to))).alias("m"))
+
+    def folded(by: list[str], at: str) -> DataFrame:
+        parts = maps.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("i"), "m"))).alias("e"))
+        return parts.select(*by, F.aggregate(F.transform("e", lambda x: x["m"]), same, after).alias("m"))
 
-    return ordered.select(key, F.aggregate("e", F.struct(F.lit("pending").alias("status"), F.lit(0).alias("steps")), step).alias("r")).select(key, "r.status", "r.steps")
+    maps = maps.withColumn("__d", F.floor(F.col("__c") / CHUNK))
+    maps = folded([key, "__d"], "__c")
+    return folded([key], "__d").select(key, F.get("m", F.lit(states.index("pending"))).alias("r")).select(key, "r.status", "r.steps")
 
 
 def append_once(batch: DataFrame, batch_id: int, path: str, key: str) -> None:

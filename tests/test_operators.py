@@ -117,3 +117,35 @@ def test_scalars_at_their_edges(spark):
     assert got[0][0] == "x" and got[1][1] is False
     assert [got[2][2], got[3][2]] == [200, 203]
     assert [r[3] for r in got] == [False, False, False, False, True, True]
+
+
+def test_admission_of_one_crowded_user_streams(spark):
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    times = [(k * k * 7919 % 1000) + (k // 200) * 1500 for k in range(2000)]
+    data = [("hot" if k % 5 else "cold", k, t) for k, t in enumerate(times)]
+    table = spark.createDataFrame(data, "u string, id long, s long").withColumn("at", F.timestamp_seconds("s"))
+    want = set()
+    for u in ("hot", "cold"):
+        own = sorted((t, k) for v, k, t in data if v == u)
+        want |= {(u, k, ok) for (_, k), ok in zip(own, A.admit([t for t, _ in own], 3, 300)[0], strict=True)}
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        got = A.admission(table, ["u"], "at", "id", 3, 300)
+        assert set(map(tuple, got.collect())) == want
+        assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()  # no group as one frame
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+def test_lifecycle_by_chunks(spark, monkeypatch):
+    monkeypatch.setattr(J, "CHUNK", 3)
+    states = list(J.TRANSITIONS)
+    data = [(f"u{u}", k, states[(k * k + u * k + u) % 7 % 6]) for u in range(12) for k in range(40)]
+    want = []
+    for u in range(12):
+        now, steps = "pending", 0
+        for _, _, asked in (x for x in data if x[0] == f"u{u}"):
+            steps += asked in J.TRANSITIONS[now]
+            now = J.next_status(now, asked)
+        want.append((f"u{u}", now, steps))
+    assert rows(J.lifecycle(spark.createDataFrame(data, "k string, s int, st string"), "k", "s", "st")) == sorted(want, key=repr)
