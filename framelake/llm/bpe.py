@@ -49,11 +49,7 @@ class Codec:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.hf = Tokenizer.from_file(path)
-        self.hf.no_truncation()
-        self.hf.no_padding()
+        self.path, self._hf = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -84,6 +80,26 @@ class Codec:
         self.kind = kind
         self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.specials if kind == "bytes" else {})
 
+    @property
+    def hf(self):  # noqa: ANN201
+        """The library's own tokenizer, loaded where a text first needs it."""
+        if self._hf is None:
+            from tokenizers import Tokenizer
+
+            self._hf = Tokenizer.from_file(self.path)
+            self._hf.no_truncation()
+            self._hf.no_padding()
+        return self._hf
+
+    def encode_plain(self, text: str) -> list[int]:
+        """Ids of a text without special tokens' strings."""
+        if self.kind == "bytes" and not SAFE_BYTES.search(text):
+            return self.fast.encode_ordinary(text)
+        return self.hf.encode(text, add_special_tokens=False).ids
+
+    def spell(self, ids: list[int]) -> bytes:
+        return self.fast.decode_bytes(ids)
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of a raw text."""
         if self.kind == "bytes" and not SAFE_BYTES.search(text):
@@ -94,10 +110,6 @@ class Codec:
         """Ids of a lower-cased text whose words each end with WORD_END (see ``packing.marked_words``)."""
         return self.fast.encode_to_numpy(text)
 
-    def encode_piece(self, data: bytes) -> list[int]:
-        """The merges alone, without a split into words."""
-        return self.fast._encode_single_piece(data)
-
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of decode(ids, skip_special_tokens=False)."""
         if self.kind == "bytes":

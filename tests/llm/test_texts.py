@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from framelake.llm import bpe_codec, exact_dedup, merkle, packing, pii, quality, simhash, token_counts
+from framelake.llm import bpe, bpe_codec, exact_dedup, merkle, packing, pii, quality, simhash, token_counts
 from framelake.llm.common import new_path, table
 
 SCHEMA = "doc_id long, text string, id int, digest string, h string, key string, n_chars string, tie int, base string, spans string, total int, rank int"
@@ -127,9 +127,14 @@ def test_token_counts_and_cache(request, spark, which):
 
 
 @pytest.mark.parametrize("which", ["documents", "hard"])
-def test_bpe_round_trip(request, which):
+@pytest.mark.parametrize("part", [bpe_codec.PART_CHARS, 1_000])
+def test_bpe_round_trip(request, monkeypatch, which, part):
+    monkeypatch.setattr(bpe_codec, "PART_CHARS", part)
+    monkeypatch.setattr(bpe_codec, "PARTS_JOINED", 3)
     docs = request.getfixturevalue(which)
     hf = Tokenizer.from_file(BYTES)
+    back = bpe_codec.decode_documents(bpe_codec.encode_documents(docs, BYTES), BYTES).join(docs.select("doc_id", F.char_length("text").alias("n")).distinct(), "doc_id").collect()
+    assert all((r["joins"] > 0) == (r["n"] > bpe_codec.LEAF_CHARS) for r in back if r["n"])
     got = bag((r["doc_id"], list(np.frombuffer(r["ids"], "<u4")), r["text"]) for r in bpe_codec.decode_documents(bpe_codec.encode_documents(docs, BYTES), BYTES).collect())
     want = []
     for i, t in texts(docs):
@@ -138,6 +143,18 @@ def test_bpe_round_trip(request, which):
     assert got == bag(want)
 
 
+def test_joins_at_any_place_are_exact():
+    """Leaves of one to 40 characters, so that joins fall into words, contractions, characters and white space."""
+    hf, codec, r = Tokenizer.from_file(BYTES), bpe.codec(BYTES), np.random.default_rng(4)
+    pools = ["'s're ally'll ve ", "  \n\t a", "abcdefgh'", "!?.'s t", "ab12 ", "\u65e5\u672c\u8a9e\U0001f600 \xe9'", "\u3000\xa0 x\u200b\xdf", "aaaaaaa", "'' 'll'l", " the and of ing"]
+    for _ in range(1_500):
+        pool = "".join(pools[k] for k in r.integers(0, len(pools), r.integers(1, 5)))
+        text = "".join(pool[k] for k in r.integers(0, len(pool), r.integers(2, 120)))
+        ids, joins = bpe_codec.encode_tree(text, codec, leaf := int(r.choice([1, 2, 3, 5, 8, 16, 40])))
+        assert ids == hf.encode(text, add_special_tokens=False).ids, repr(text)
+        assert (joins > 0) == (len(text) > leaf)
+
+
 @pytest.mark.parametrize("which", ["documents", "hard"])
 def test_exact_dedup(request, which):
     docs = request.getfixturevalue(which)
