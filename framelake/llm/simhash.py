@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table, text_or_empty
+from .common import discard, materialise, table, text_or_empty
 
 SHINGLE = 3
 DISTANCE = 2
@@ -186,12 +186,14 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     was = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = materialise(large, "large")
         low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        discard(edges, least)
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = materialise(small.where("u != v").distinct(), "edges")
+        discard(large, low)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == was:
             break
@@ -222,6 +224,8 @@ NEAR_WORDS = 5
 SIMILARITY = 0.8
 #: Classes of shingles whose occurrences are counted for the order of a text's shingles (a power of two), and parts in which the counts travel.
 CLASSES, CLASS_PARTS = 1 << 20, 64
+#: Texts that a Python worker holds with their shingles at once.
+SLICE = 500
 #: 64-bit words of a set's parity bitmap.
 PARITY_WORDS = 8
 
@@ -274,7 +278,9 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "wanted")
     texts = materialise(sets.join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "shingles")
     rated = pairs.join(texts.toDF("a", "sa"), "a").join(texts.toDF("b", "sb"), "b")
-    return materialise(rated.where(F.pandas_udf(jaccard, "double")("sa", "sb") >= similarity).select("a", "b"), "alike")
+    out = materialise(rated.where(F.pandas_udf(jaccard, "double")("sa", "sb") >= similarity).select("a", "b"), "alike")
+    discard(wanted, texts)
+    return out
 
 
 def near_links(docs: DataFrame, text_col: str, distance: int = DISTANCE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -282,15 +288,15 @@ def near_links(docs: DataFrame, text_col: str, distance: int = DISTANCE, similar
 
     Texts with equal sets are one node, sid.  Two alike sets share one of the first ``prefix_size``
     shingles of each in any order that all texts use; the order is by frequency, so these are the rarest.
-    First, in each group (one shingle in the prefix, or fingerprints that the hierarchical index links)
-    all are compared with the least, which mostly makes one component of a cluster of copies.  Then
+    First, each text is compared with one leader, that of most of its groups (one shingle in the prefix, or fingerprints that the
+    hierarchical index links), where a group's leader is its text with the largest groups; this mostly makes one component of a cluster of copies.  Then
     every pair that shares such a shingle and isn't yet in one component is compared, whatever the
     group's size.  Only proven bounds sort out pairs: sizes, places in the order, parity bitmaps.
     """
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        for b in batches:
+        for b in (b.iloc[k : k + SLICE] for b in batches for k in range(0, len(b), SLICE)):
             out = []
             for rid, i, t in zip(b["rid"], b["id"], b["text"], strict=True):
                 words = t.encode().lower().split()
@@ -302,11 +308,11 @@ def near_links(docs: DataFrame, text_col: str, distance: int = DISTANCE, similar
     keyed = docs.select(F.col("__rid").alias("rid"), F.col("__id").alias("id"), text_or_empty(text_col).alias("text"))
     nodes = materialise(keyed.mapInPandas(of, f"rid bigint, id {keyed.schema['id'].dataType.simpleString()}, sid bigint, fp bigint, n int, bits array<bigint>, s binary"), "near-nodes")
     sets = nodes.select("sid", "s")
-    slim = materialise(nodes.select("sid", "n", "fp", "bits").dropDuplicates(["sid"]), "near-sets")
+    slim = materialise(nodes.groupBy("sid").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits")), "near-sets")
     counts = docs.sparkSession.sparkContext.broadcast(class_counts(sets))
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (b.iloc[k : k + SLICE] for b in batches for k in range(0, len(b), SLICE)):
             keys, sizes = [], []
             for s in b["s"]:
                 h = np.frombuffer(s, "<u8")
@@ -315,33 +321,42 @@ def near_links(docs: DataFrame, text_col: str, distance: int = DISTANCE, similar
             if sum(sizes):
                 yield pd.DataFrame({"g": np.concatenate(keys).view("<i8"), "sid": np.repeat(b["sid"].to_numpy(), sizes), "at": np.concatenate([np.arange(k, dtype="<i4") for k in sizes])})
 
-    filed = sets.mapInPandas(prefixes, "g bigint, sid bigint, at int")
-    filed = materialise(filed, "filed")
-    shared = materialise(filed.groupBy("g").agg(F.min("sid").alias("lead"), F.max("sid").alias("last")).where("lead < last").select("g", "lead"), "shared")
-    members = materialise(filed.join(shared, "g").distinct(), "members")
+    filed = sets.mapInPandas(prefixes, "g bigint, sid bigint, at int")  # computed twice: cheaper than a table of a fifth of all shingles
+    shared = materialise(filed.groupBy("g").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("n")).where("low < high").select("g", "n"), "shared")
+    members = materialise(filed.join(shared, "g").groupBy("g", "sid").agg(F.min("at").alias("at"), F.first("n").alias("n")), "members")
 
     fps = slim.select("fp").distinct()
     roots = components(links(fps, fps.count(), distance))
     linked = slim.select("sid", "fp").join(roots, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("g"), "sid")
-    led = linked.groupBy("g").agg(F.min("sid").alias("lead"), F.max("sid").alias("last")).where("lead < last")
-    stars = members.select("sid", "lead").unionByName(linked.join(led, "g").select("sid", "lead")).where("sid != lead")
+    degrees = materialise(members.groupBy("sid").agg(F.sum("n").alias("degree")), "degrees")
+    ranked = materialise(members.select("g", "sid").join(degrees, "sid").unionByName(linked.join(degrees, "sid", "left").select("g", "sid", F.coalesce("degree", F.lit(0)).alias("degree"))), "ranked")
+    leads = materialise(ranked.groupBy("g").agg(F.max(F.struct("degree", "sid"))["sid"].alias("lead"), F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("g", "lead"), "leads")
+    led = ranked.join(leads, "g").where("sid != lead").groupBy("sid", "lead").agg(F.count("*").alias("n"))
+    best = materialise(led.groupBy("sid").agg(F.max(F.struct("n", "lead"))["lead"].alias("b")).select(F.col("sid").alias("a"), "b"), "best")
+    discard(shared, degrees, ranked, leads)
     part = similarity / (1 + similarity)
     bound = f"(n + m) * {1 - 2 * part} + 1e-6"  # most elements that alike sets of n and m differ in
     unlike = " + ".join(f"bit_count(bits[{k}] ^ others[{k}])" for k in range(PARITY_WORDS))
     other = slim.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("others"))
-    stars = stars.select(F.col("sid").alias("a"), F.col("lead").alias("b")).distinct().join(slim.select(F.col("sid").alias("a"), "n", "bits"), "a").join(other, "b")
-    first = alike(materialise(stars.where(f"{unlike} <= {bound}").select("a", "b"), "stars"), sets, similarity)
+    stars = best.join(slim.select(F.col("sid").alias("a"), "n", "bits"), "a").join(other, "b")
+    stars = materialise(stars.where(f"{unlike} <= {bound}").select("a", "b"), "stars")
+    first = alike(stars, sets, similarity)
 
     comps = components(first)
     placed = members.select("g", "sid", "at").join(comps, F.col("sid") == F.col("node"), "left").select("g", "sid", "at", F.coalesce("root", "sid").alias("c"))
-    placed = materialise(placed.join(slim.select("sid", "n", "bits"), "sid"), "placed-members")
+    placed = materialise(placed, "placed-members")
     apart = materialise(placed.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("g"), "apart")
-    left = materialise(placed.join(apart, "g", "left_semi"), "left")
+    discard(best, stars, members)
+    left = materialise(placed.join(apart, "g", "left_semi").join(slim.select("sid", "n", "bits"), "sid"), "left")
     right = left.select("g", F.col("sid").alias("other"), F.col("at").alias("place"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("bits").alias("others"))
     meets = f"sid < other and c != d and least(n - at, m - place) >= (n + m) * {part} - 1e-6"  # at the first shingle in common, at most those after it are common
-    rest = left.join(right, "g").where(f"{meets} and {unlike} <= {bound}").select(F.col("sid").alias("a"), F.col("other").alias("b")).distinct()
-    second = alike(materialise(rest, "rest"), sets, similarity)
-    return nodes.select("rid", "id", "sid"), first.unionByName(second)
+    discard(placed, apart)
+    rest = materialise(left.join(right, "g").where(f"{meets} and {unlike} <= {bound}").select(F.col("sid").alias("a"), F.col("other").alias("b")).distinct(), "rest")
+    second = alike(rest, sets, similarity)
+    discard(left, rest, slim)
+    narrow = materialise(nodes.select("rid", "id", "sid"), "near-ids")
+    discard(nodes)
+    return narrow, first.unionByName(second)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
