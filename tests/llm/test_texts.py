@@ -75,15 +75,23 @@ def test_pii(request, documents, which):
     assert got == bag(want)
 
 
-def test_pii_trees_add_spans_and_keep_the_base(spark, documents):
-    selector = pii.train_selector(table(spark, "/root/testdata/sf0.01", "documents"))
+@pytest.fixture(scope="module")
+def selector(spark):
+    return pii.train_selector(table(spark, "/root/testdata/sf0.01", "documents"))
+
+
+def test_pii_trees_add_spans_and_keep_the_base(spark, selector):
+    documents = table(spark, "/root/testdata/sf0.01", "documents")
     assert selector.trees
     found = pii.find_spans(documents, selector).select("doc_id", "text", "base", "spans").collect()
+    many = 0
     for r in found:
         assert set(r["base"]) <= set(r["spans"])
         added = [s for s in r["spans"] if s not in r["base"]]
+        many += len(added)
         for k, s in enumerate(added):
             assert all(s["end"] <= o["start"] or o["end"] <= s["start"] for o in [*r["base"], *added[:k]])
+    assert many > 0
     clean = {r["doc_id"]: r["text"] for r in pii.redact(documents, selector).collect()}
     for r in found:
         marks, at = [], 0  # overlapping spans become one, named after the first
@@ -98,6 +106,41 @@ def test_pii_trees_add_spans_and_keep_the_base(spark, documents):
         assert clean[r["doc_id"]] == want + r["text"][at:]
 
 
+def test_pii_spans_beyond_the_base_patterns(spark, documents, selector):
+    """Planted forms that no base pattern has, and numbers and hashes that are nobody's, in passages of real texts."""
+    r = np.random.default_rng(11)
+    d = lambda n: "".join(str(x) for x in r.integers(0, 10, n))
+    x = lambda n: "".join("0123456789abcdef"[k] for k in r.integers(0, 16, n))
+    def card():
+        body = d(15)
+        return body + next(c for c in "0123456789" if luhn(body + c))
+
+    planted = lambda: [f"call ({d(3)}) 555-{d(4)}", f"tel. {d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", "jo.smith [at] example [dot] org", "ann_b(at)mail.net", "write to kim at example dot com", ".".join(re.findall("....", card())), f'token = "{x(40)}"', f"api_key: {x(32)}"]
+    others = lambda: [f"2024-05-1{d(1)} 10:{d(2)}", f"commit {x(40)}", f"order {d(10)}", f"total $ {d(1)},{d(3)},{d(3)}.{d(2)}", f"version 2.{d(2)}.{d(4)}.1", f"id {x(8)}-{x(4)}-{x(4)}-{x(4)}-{x(12)}", f"0.{d(13)}"]
+    prose = [t for _, t in texts(documents) if len(t) > 400 and not re.search("[0-9@]", t)]
+    rows = []
+    for k, t in enumerate(prose):
+        for v in [*planted(), *others()]:
+            rows.append((len(rows), f"{t[k : k + 60]} {v} {t[100:160]}", v, k))
+        if k >= 12:
+            break
+    bad = {v for v in [w for _, _, w, _ in rows] if re.match(r"2024|commit|order|total|version|id |0\.", v)}
+    got = {q["doc_id"]: q["spans"] for q in pii.find_spans(spark.createDataFrame([q[:2] for q in rows], "doc_id int, text string"), selector).collect()}
+    hits = sum(bool(got[i]) for i, _, v, _ in rows if v not in bad)
+    false = sum(bool(got[i]) for i, _, v, _ in rows if v in bad)
+    positives = sum(v not in bad for _, _, v, _ in rows)
+    print(f"recall {hits / positives:.3f}, precision {hits / max(1, hits + false):.3f}, of {positives} and {len(rows) - positives}")
+    assert hits / positives > 0.9 and hits / (hits + false) > 0.95
+
+
+def test_pii_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a@b.cc", "x", "y", "z", "t"), (1, "a@b.cc", "x", "y", "z", "t"), (None, None, None, None, None, None)], "doc_id int, text string, base string, spans string, candidates string, `odd.name` string")
+    got = pii.redact(docs, pii.NOTHING)
+    assert got.columns == docs.columns
+    assert bag(map(tuple, got.collect())) == bag([(1, "[EMAIL]", "x", "y", "z", "t")] * 2 + [(None,) * 6])
+    assert [r["spans"] for r in pii.detect(docs, selector=pii.NOTHING).collect()] == ["email:0:6", "email:0:6", ""]
+
+
 def test_pii_redaction_of_many_and_overlapping_spans(spark):
     docs = spark.createDataFrame([(1, "a@b.cc, " * 90), (2, None), (3, "é +378282246310005 x")], "doc_id int, text string")
     assert {r["doc_id"]: r["text"] for r in pii.redact(docs, pii.NOTHING).collect()} == {1: "[EMAIL], " * 90, 2: None, 3: "é [PHONE] x"}
