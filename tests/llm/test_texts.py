@@ -423,3 +423,16 @@ def test_empty_tables(spark, hard):
         quality.score_documents(none, quality.train(none, spark.createDataFrame([], "doc_id long, quality int"))),
     ]
     assert [f.count() for f in frames] == [0] * len(frames)
+
+
+def test_bloom_ranges_keep_most_rows_out_of_the_shuffle(spark):
+    rows = [(k, f"text {k}") for k in range(20_000)] + [(20_000 + k, f"text {k % 100}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    digests = docs.select("doc_id", F.unhex(exact_dedup.digest_of("text")).alias("digest"))
+    assert exact_dedup.ranges_of(len(rows), 8_192)[0] == 5
+    marked = exact_dedup.marked_rows(digests, len(rows), 8_192)
+    assert marked.count() == len(rows) and marked.where("__maybe").count() < 0.1 * len(rows)  # 2 % are repeated
+    want = bag(map(tuple, exact_dedup.exact_groups(docs).collect()))
+    assert bag(map(tuple, exact_dedup.exact_groups(docs, most=8_192).collect())) == want
+    kept = {r[0] for r in want if r[3]}
+    assert {r["doc_id"] for r in exact_dedup.drop_copies(docs, most=8_192).collect()} == {r["doc_id"] for r in exact_dedup.drop_copies(docs).collect()} == kept
