@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import exact_dedup
 from .common import discard, materialise, table, text_or_empty
 
 SHINGLE = 3
@@ -224,6 +225,8 @@ NEAR_WORDS = 5
 SIMILARITY = 0.8
 #: Classes of shingles whose occurrences are counted for the order of a text's shingles (a power of two), and parts in which the counts travel.
 CLASSES, CLASS_PARTS = 1 << 20, 64
+#: Groups that are dealt over several tasks at most, and over how many.
+HOT_GROUPS, SALTS = 10_000, 32
 #: Texts that a Python worker holds with their shingles at once.
 SLICE = 500
 #: 64-bit words of a set's parity bitmap.
@@ -265,6 +268,18 @@ def class_counts(sets: DataFrame) -> np.ndarray:
     return out
 
 
+def meet(rows: DataFrame, groups: DataFrame, spread: str = "sid") -> DataFrame:
+    """Join on ``g`` with one row a group, which has its size n; rows of a hot group are dealt over SALTS keys.
+
+    Hot are groups with more than a HOT_GROUPS-th of all rows, so there are at most that many, and they may be broadcast.
+    """
+    limit = (groups.agg(F.sum("n")).first()[0] or 0) // HOT_GROUPS + 1
+    hot = F.broadcast(groups.where(F.col("n") > limit).select("g", F.lit(True).alias("__hot")))
+    salted = rows.join(hot, "g", "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)).drop("__hot")
+    salts = F.when(F.col("n") > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(groups.withColumn("__salt", F.explode(salts)), ["g", "__salt"]).drop("__salt")
+
+
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets are alike to ``similarity`` or more, checked on the whole sets."""
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -276,7 +291,8 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         return pd.Series(out, dtype="float64")
 
     wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "wanted")
-    texts = materialise(sets.join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "shingles")
+    likely = exact_dedup.possibly_in(sets, wanted, "sid", "__in").where("__in").drop("__in")  # so that other sets don't move
+    texts = materialise(likely.join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "shingles")
     rated = pairs.join(texts.toDF("a", "sa"), "a").join(texts.toDF("b", "sb"), "b")
     out = materialise(rated.where(F.pandas_udf(jaccard, "double")("sa", "sb") >= similarity).select("a", "b"), "alike")
     discard(wanted, texts)
@@ -322,16 +338,18 @@ def near_links(docs: DataFrame, text_col: str, distance: int = DISTANCE, similar
                 yield pd.DataFrame({"g": np.concatenate(keys).view("<i8"), "sid": np.repeat(b["sid"].to_numpy(), sizes), "at": np.concatenate([np.arange(k, dtype="<i4") for k in sizes])})
 
     filed = sets.mapInPandas(prefixes, "g bigint, sid bigint, at int")  # computed twice: cheaper than a table of a fifth of all shingles
-    shared = materialise(filed.groupBy("g").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("n")).where("low < high").select("g", "n"), "shared")
-    members = materialise(filed.join(shared, "g").groupBy("g", "sid").agg(F.min("at").alias("at"), F.first("n").alias("n")), "members")
+    shared = materialise(filed.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    members = materialise(meet(filed, shared).groupBy("g", "sid").agg(F.min("at").alias("at"), F.first("n").alias("n")), "members")
 
     fps = slim.select("fp").distinct()
     roots = components(links(fps, fps.count(), distance))
     linked = slim.select("sid", "fp").join(roots, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("g"), "sid")
     degrees = materialise(members.groupBy("sid").agg(F.sum("n").alias("degree")), "degrees")
-    ranked = materialise(members.select("g", "sid").join(degrees, "sid").unionByName(linked.join(degrees, "sid", "left").select("g", "sid", F.coalesce("degree", F.lit(0)).alias("degree"))), "ranked")
-    leads = materialise(ranked.groupBy("g").agg(F.max(F.struct("degree", "sid"))["sid"].alias("lead"), F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("g", "lead"), "leads")
-    led = ranked.join(leads, "g").where("sid != lead").groupBy("sid", "lead").agg(F.count("*").alias("n"))
+    ranked = members.select("g", "sid").join(degrees, "sid").unionByName(linked.join(degrees, "sid", "left").select("g", "sid", F.coalesce("degree", F.lit(0)).alias("degree")))
+    ranked = materialise(ranked, "ranked")
+    leads = ranked.groupBy("g").agg(F.max(F.struct("degree", "sid"))["sid"].alias("lead"), F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("n"))
+    leads = materialise(leads.where("low < high").select("g", "lead", "n"), "leads")
+    led = meet(ranked.select("g", "sid"), leads).where("sid != lead").groupBy("sid", "lead").agg(F.count("*").alias("n"))
     best = materialise(led.groupBy("sid").agg(F.max(F.struct("n", "lead"))["lead"].alias("b")).select(F.col("sid").alias("a"), "b"), "best")
     discard(shared, degrees, ranked, leads)
     part = similarity / (1 + similarity)
@@ -345,9 +363,10 @@ def near_links(docs: DataFrame, text_col: str, distance: int = DISTANCE, similar
     comps = components(first)
     placed = members.select("g", "sid", "at").join(comps, F.col("sid") == F.col("node"), "left").select("g", "sid", "at", F.coalesce("root", "sid").alias("c"))
     placed = materialise(placed, "placed-members")
-    apart = materialise(placed.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("g"), "apart")
+    apart = placed.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high").select("g", "n")
+    apart = materialise(apart, "apart")
     discard(best, stars, members)
-    left = materialise(placed.join(apart, "g", "left_semi").join(slim.select("sid", "n", "bits"), "sid"), "left")
+    left = materialise(meet(placed, apart).drop("n").join(slim.select("sid", "n", "bits"), "sid"), "left")
     right = left.select("g", F.col("sid").alias("other"), F.col("at").alias("place"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("bits").alias("others"))
     meets = f"sid < other and c != d and least(n - at, m - place) >= (n + m) * {part} - 1e-6"  # at the first shingle in common, at most those after it are common
     discard(placed, apart)
