@@ -13,6 +13,8 @@ from .common import materialise, table, text_or_empty
 
 #: Labelled rows that are fitted at most: those with the smallest hashes of their ids.
 MAX_TRAIN = 6_000
+#: Their passages at most (some 60 MB of features on the driver): rows that would exceed it are left out whole.
+MAX_PASSAGES = 120_000
 THRESHOLD = 0.3
 PASSAGE_BYTES = 400
 #: Passages of one document that are encoded at once; a longer document is read in such steps.
@@ -69,7 +71,8 @@ def encode(text: str) -> np.ndarray:
     if len(begins):
         stops = np.append(np.flatnonzero(~blank[:-1] & blank[1:]) + 1, n)[: len(begins)]
         # A word's hash from prefix sums of mixed bytes: equal words have equal hashes; other collisions don't matter here.
-        mixed = np.append(0, np.cumsum((data.astype(np.uint64) + np.uint64(1)) ** np.uint64(5) * np.uint64(2654435761)).astype(np.uint64))
+        mixed = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) ** np.uint64(5) * np.uint64(2654435761), out=mixed[1:])
         word = mixed[stops] - mixed[begins]
         at, length = owner[begins], (stops - begins).astype(np.float64)
         words = np.bincount(at, minlength=m)
@@ -129,7 +132,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: int
         order = r.permutation(len(bags))
         for k in range(0, len(order), batch):
             take = order[k : k + batch]
-            x = np.concatenate([bags[i] for i in take])
+            x = np.concatenate([bags[i] for i in take]).astype(np.float64)
             bag = np.repeat(np.arange(len(take)), [len(bags[i]) for i in take])
             f = forward(p, x, bag, len(take))
             g = gradients(p, x, bag, f, (f["y"] - labels[take]) / share[labels[take]] / len(take) / 2)
@@ -157,10 +160,13 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MAX_TRAIN) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MAX_TRAIN, passages_most: int = MAX_PASSAGES) -> dict[str, np.ndarray]:
     """Weights from at most ``most`` labelled rows that aren't held out (a bound on the sample, not on the corpus scored).
 
-    Only their passages' features come to the driver.  Without labels of both classes, scores are near 0.5.
+    Rows are taken in the order of their ids' hashes, whole texts with all their passages; a row that would bring the
+    passages over ``passages_most`` is left out.  Only their passages' features come to the driver.  Without labels of both
+    classes, scores are near 0.5.  Of repeated labels of one id the larger counts, of repeated
+    documents the longest; null labels and ids are left out.
     """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(id_col).agg(F.max(label_col).alias("__label"))
     chosen = materialise(chosen.orderBy(F.xxhash64(id_col), id_col).limit(most), "train")
@@ -168,19 +174,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b[id_col].astype(str), "label": b["__label"].astype("int32"), "x": [sample_passages(encode(t)).astype("<f4").tobytes() for t in b["__text"]]})
-
-    got = rows.mapInPandas(features, "id string, label int, x binary").toPandas().sort_values(["id", "label"])
-    return fit([np.frombuffer(x, "<f4").reshape(-1, FEATURES).astype(np.float64) for x in got["x"]], got["label"].to_numpy(dtype=np.int64))
-
-
-def sample_passages(x: np.ndarray, most: int = 48) -> np.ndarray:
-    """Of a training document, evenly spaced passages; scoring reads all."""
-    return x if len(x) <= most else x[np.linspace(0, len(x) - 1, most).astype(int)]
+            for i, label, t in zip(b[id_col], b["__label"], b["__text"], strict=True):
+                x = encode(t)
+                yield pd.DataFrame({"id": [str(i)], "label": [int(label)], "n": [len(x)], "x": [x.astype("<f2").tobytes() if len(x) <= passages_most else None]})
+
+    found = rows.mapInPandas(features, "id string, label int, n int, x binary")
+    got = materialise(found.groupBy("id").agg(F.max(F.struct("n", "label", "x")).alias("one")).select("id", "one.*"), "features")
+    sizes = got.select("id", "label", "n", F.xxhash64("id").alias("h")).orderBy("h", "id", "label", "n").toPandas()  # a row a labelled document
+    total, taken = 0, set()
+    for k, n in enumerate(sizes["n"]):
+        if total + n <= passages_most:
+            total += n
+            taken.add(sizes["id"].iloc[k])
+    kept = got.where(F.col("x").isNotNull() & F.col("id").isin(list(taken))).select("id", "label", "x").toPandas().sort_values(["id", "label"])
+    return fit([np.frombuffer(x, "<f2").reshape(-1, FEATURES) for x in kept["x"]], kept["label"].to_numpy(dtype=np.int64))
 
 
 def score_documents(docs: DataFrame, weights: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: id, held_out, score, predicted.  Only the text is an input; null counts as empty; no shuffle."""
+    """One row per input row: id, held_out, score, predicted.
+
+    Only the text is an input; null counts as empty; null ids aren't held out; repeated rows keep their rows; an empty table gives none; no shuffle.
+    """
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"))
 
     def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,7 +206,10 @@ def score_documents(docs: DataFrame, weights: dict[str, np.ndarray], id_col: str
 
 
 def keep_good(docs: DataFrame, weights: dict[str, np.ndarray], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject, with all their columns."""
+    """The rows of ``docs`` that the classifier doesn't reject, with all their columns.
+
+    Null texts are scored as empty; repeated rows stay or go alike; an empty table stays empty.
+    """
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: score(weights, t or ""))

@@ -267,6 +267,83 @@ def test_quality_on_held_out_documents(spark, documents, sf):
     assert kept == {i for i, r in got.items() if r["predicted"]}
 
 
+def plain_features(text):
+    """One list per passage, by plain loops over bytes."""
+    data = text.encode()
+    if not data:
+        return [[0.0] * quality.FEATURES]
+    kinds = [int(quality.CLASS_OF[b]) for b in data]
+    lines, at = [], 0
+    for line in data.split(b"\n"):
+        end = min(at + len(line) + 1, len(data))
+        if at < end:
+            lines.append((at, end))
+        at += len(line) + 1
+    starts = {a for a, _ in lines}
+    for a, b in lines:
+        for place in range(a + 400, b, 400) if b - a > 400 else ():
+            after = next((k + 1 for k in range(place - 1, len(data)) if data[k] == 32 and k + 1 >= place), len(data))
+            starts |= {after} if after < len(data) else set()
+    starts = sorted(starts)
+    bounds = list(zip(starts, [*starts[1:], len(data)]))
+    words, k = [], 0
+    while k < len(data):
+        e = k
+        while e < len(data) and kinds[e] not in (1, 2):
+            e += 1
+        if e > k:
+            words.append((k, e, sum((b + 1) ** 5 * 2654435761 for b in data[k:e]) % (1 << 64)))
+        k = e + 1
+    out = []
+    for a, b in bounds:
+        x = [0.0] * quality.FEATURES
+        for k in range(max(a, 1), b):
+            x[kinds[k - 1] * quality.CLASSES + kinds[k]] += 1 / (b - a)
+        own = [w for w in words if a <= w[0] < b]
+        if words:
+            n, sizes = max(1, len(own)), [e - s for s, e, _ in own]
+            mean = sum(sizes) / n
+            repeats = sum(u[2] == v[2] for u, v in zip(own, own[1:]))
+            x[-10:-3] = [np.log1p(len(own)) / 5, mean / 10, max(0, sum(z * z for z in sizes) / n - mean**2) ** 0.5 / 10, len({w[2] for w in own}) / n, repeats / n, len({w[2] for w in words}) / len(words), np.log1p(len(words)) / 10]
+        x[-3:] = [np.log1p(b - a) / 6, np.log1p(len(bounds)) / 6, 1.0]
+        out.append(x)
+    return out
+
+
+def plain_score(p, text):
+    """Gated attention over passages, one number at a time."""
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    dot = lambda x, m, j: sum(x[i] * m[i][j] for i in range(len(x)))
+    hidden, weights = [], []
+    for x in plain_features(text):
+        h = [np.tanh(dot(x, p["E"], j)) for j in range(quality.HIDDEN)]
+        hidden.append(h)
+        weights.append(np.exp(sum(np.tanh(dot(h, p["V"], j)) * sigmoid(dot(h, p["U"], j)) * p["w"][j] for j in range(quality.GATE))))
+    z = [sum(w * h[j] for w, h in zip(weights, hidden)) / sum(weights) for j in range(quality.HIDDEN)]
+    return sigmoid(sum(z[j] * p["c"][j] for j in range(quality.HIDDEN)) + p["b"][0])
+
+
+def test_quality_against_loops(monkeypatch):
+    weights = quality.start_weights(3)
+    for text in ["", "one line of words words words\nand another, with 12 digits!\n\n  ", "x" * 900 + " " + "yz " * 300 + "\nlast", "日本語 のテキスト\t\x01", " ", "a|b|c\n" * 30]:
+        assert np.allclose(quality.encode(text), plain_features(text), atol=1e-5)
+        want = plain_score(weights, text)
+        assert abs(quality.score(weights, text) - want) < 1e-5
+        monkeypatch.setattr(quality, "STEP", 2)  # a step of passages at a time gives the same
+        assert abs(quality.score(weights, text) - want) < 1e-5
+        monkeypatch.undo()
+
+
+def test_quality_training_leaves_out_whole_rows_only(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "good words here\n" * (k % 7 + 1)) for k in range(60)] + [(0, "twice")] * 5, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(3, None), (None, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, y: seen.append((bags, y)) or quality.start_weights())
+    quality.train(docs, labels, passages_most=20)
+    bags, y = seen[0]
+    assert 14 <= sum(len(b) for b in bags) <= 20 and len(bags) == len(y) and {len(b) for b in bags} <= set(range(1, 8))
+
+
 def test_quality_of_hard_texts(spark, hard):
     weights = quality.train(hard, spark.createDataFrame([], "doc_id long, quality int"))
     got = quality.score_documents(hard, weights).collect()
@@ -406,13 +483,69 @@ def test_leaves_of_unspaced_texts(spark):
     assert all(0.7 < x["near_edited"] < 0.8 and x["near_next"] < 0.01 for x in got)
 
 
+def plain_tree(text):
+    """Sections of (hash, paragraphs of (hash, leaves)), by plain loops over the same rules."""
+    long = lambda x: x - (1 << 64) if x >> 63 else x
+    def fold(values):
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True), h)
+        return long(h)
+
+    sections, now = [], []
+    lines = text.split("\n")
+    for k, line in enumerate(lines):
+        leaves = [long(xxhash.xxh64_intdigest(m[0].encode(), 42)) for m in re.finditer(r"(?:[^ \t-\r]{1,32}[ \t-\r]*){1,8}", line)]
+        now.append((fold(leaves), leaves))
+        if k == len(lines) - 1 or now[-1][0] % 8 == 0:
+            sections.append((fold([h for h, _ in now]), now))
+            now = []
+    return sections
+
+
+def plain_comparison(a, b):
+    ta, tb = plain_tree(a), plain_tree(b)
+    ha, hb = {s[0] for s in ta}, {s[0] for s in tb}
+    pa = [p for h, s in ta if h not in hb for p in s]
+    pb = [(p, i, k) for i, (h, s) in enumerate(tb) if h not in ha for k, p in enumerate(s)]
+    la, lb = {x for _, l in pa for x in l}, {x for (_, l), _, _ in pb for x in l}
+    total = sum(len({x for _, s in t for _, l in s for x in l}) for t in (ta, tb))
+    like = 1.0 if a == b or not total else 1 - (len(la - lb) + len(lb - la)) / total
+    return like, ",".join(f"{i}:{k}" for (h, _), i, k in pb if h not in {g for g, _ in pa})
+
+
+@pytest.mark.parametrize("which", ["documents", "hard"])
+def test_merkle_trees_against_loops(request, which):
+    docs = request.getfixturevalue(which)
+    rows = sorted(texts(docs), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    want = []
+    for k, (i, t) in enumerate(rows):
+        after, q = rows[(k + 1) % len(rows)][1], len(t) // 4
+        edited = t[: len(t) - q] + after[:q]
+        near, differing = plain_comparison(t, edited)
+        printed = lambda x: ".".join(f"{h % (1 << 64):016x}({';'.join(''.join(f'{l % (1 << 64):016x}' for l in p) for _, p in s)})" for h, s in plain_tree(x))
+        want.append((i, printed(t), printed(edited), round(near, 9), round(plain_comparison(t, after)[0], 9), differing))
+    got = [(r["doc_id"], r["fingerprint"][33:], r["edited_fingerprint"][33:], round(r["near_edited"], 9), round(r["near_next"], 9), r["differing"]) for r in merkle.edited_fingerprints(docs).collect()]
+    assert bag(got) == bag(want)
+
+
 def test_differing_branches_locate_an_edit(spark):
     lines = [f"paragraph {k} has the words number {k * k} and some more of its own" for k in range(80)]
-    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join([*lines[:40], "an edited paragraph", *lines[41:]]))], "doc_id int, text string")
-    a, b = (r["fingerprint"] for r in merkle.fingerprint_documents(docs).orderBy("doc_id").collect())
-    df = spark.createDataFrame([(a, b)], "a string, b string")
-    same, edit = df.select(merkle.differing_branches(F.col("a"), F.col("a")), merkle.differing_branches(F.col("a"), F.col("b"))).first()
-    assert same == [] and 1 <= len(edit) < len(b.split(":")[1].split(".")) / 2
+    df = spark.createDataFrame([("\n".join(lines), "\n".join([*lines[:40], "an edited paragraph", *lines[41:]]))], "a string, b string")
+    df = merkle.with_tree(merkle.with_tree(df, "a", "ta"), "b", "tb")
+    same, edit = merkle.with_comparison(merkle.with_comparison(df, "ta", "ta", "x"), "ta", "tb", "y").select("x.branches", "y.branches").first()
+    assert same == [] and len(edit) == 1
+    sections = plain_tree("\n".join([*lines[:40], "an edited paragraph", *lines[41:]]))
+    assert sum(len(s) for _, s in sections[: edit[0]["section"]]) + edit[0]["paragraph"] == 40
+
+
+@pytest.mark.parametrize("rows", [1, 4])
+def test_neighbours_over_many_blocks(spark, monkeypatch, rows):
+    monkeypatch.setattr(merkle, "BLOCK_ROWS", rows)
+    ids = [None, *range(-5, 300, 3), *range(1 << 40, (1 << 40) + 40)]
+    docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
+    got = {r["id"]: r["next_text"] for r in merkle.neighbours(docs, "doc_id", "text").collect()}
+    assert got == {i: f"t{ids[(k + 1) % len(ids)]}" for k, i in enumerate(ids)}
 
 
 def test_empty_tables(spark, hard):
