@@ -166,18 +166,20 @@ def candidate(s: Column) -> Column:
 
     The plus sign, which makes a base phone number, is not a feature; a card number's check digit is.
     """
-    t, d = s.text, digits_of(s.text)
-    n = F.length(d)
-    groups = F.filter(F.split(t, "[^0-9]+"), lambda g: g != "")
-    sizes = F.transform(groups, lambda g: F.length(g))
-    order = F.when(t.rlike(EMAIL_FORM), 0).when(t.rlike(IP_FORM), 1).when(t.rlike(SECRET_FORM), 4).when(n.between(12, 19), 2).otherwise(3)
+    t = s.text
+    sizes = F.transform(F.filter(F.split(t, "[^0-9]+"), lambda g: g != ""), lambda g: F.length(g))
+    order = F.when(t.rlike(EMAIL_FORM), 0).when(t.rlike(IP_FORM), 1).when(t.rlike(SECRET_FORM), 4).when(F.length(digits_of(t)).between(12, 19), 2).otherwise(3)
     count = lambda c: F.length(F.regexp_replace(t, f"[^{c}]", ""))
-    features = [
-        order, n, F.length(t), F.length(F.regexp_replace(t, r"[A-Za-z0-9+]", "")), F.size(groups), t.rlike(r"[()]").cast("int"), char_class(s.before), char_class(s.after),
-        F.size(F.array_distinct(F.split(d, ""))), F.coalesce(F.array_max(sizes), F.lit(0)), F.coalesce(F.array_min(sizes), F.lit(0)), F.when(order == 2, luhn(d).cast("int")).otherwise(0),
-        count("A-Za-z"), count(r"\x20"), count("/"), s.before.rlike(r"[=:]\s?[\"']?$").cast("int"), F.coalesce(F.get(sizes, F.lit(0)), F.lit(0)), *[s.before.rlike(c).cast("int") for c in CUES.values()],
-    ]
-    return F.struct(s.start.alias("start"), s.end.alias("end"), order.alias("order"), F.array(*[f.cast("double") for f in features]).alias("x"))
+    def of(known: Column) -> Column:
+        d, sizes, order = known["d"], known["sizes"], known["order"]
+        features = [
+            order, F.length(d), F.length(t), F.length(F.regexp_replace(t, r"[A-Za-z0-9+]", "")), F.size(sizes), t.rlike(r"[()]").cast("int"), char_class(s.before), char_class(s.after),
+            F.size(F.array_distinct(F.split(d, ""))), F.coalesce(F.array_max(sizes), F.lit(0)), F.coalesce(F.array_min(sizes), F.lit(0)), F.when(order == 2, luhn(d).cast("int")).otherwise(0),
+            count("A-Za-z"), count(r"\x20"), count("/"), s.before.rlike(r"[=:]\s?[\"']?$").cast("int"), F.coalesce(F.get(sizes, F.lit(0)), F.lit(0)), *[s.before.rlike(c).cast("int") for c in CUES.values()],
+        ]
+        return F.struct(s.start.alias("start"), s.end.alias("end"), order.alias("order"), F.array(*[f.cast("double") for f in features]).alias("x"))
+
+    return F.get(F.transform(F.array(F.struct(digits_of(t).alias("d"), sizes.alias("sizes"), order.alias("order"))), of), F.lit(0))
 
 
 def with_candidates(df: DataFrame, text: str) -> DataFrame:
