@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
@@ -16,6 +17,8 @@ from .common import materialise, table
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.95
+#: Confidence over the share of all examples that are blocked.
+MIN_LIFT = 1.2
 BLOCK = "verdict=block"
 
 
@@ -30,11 +33,15 @@ def path_of(url: Column) -> Column:
 
 
 def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
-    """struct(rule, verdict) of the longest rule whose host is the URL's or a parent of it and whose path begins the URL's; else null."""
-    out = F.lit(None).cast("struct<rule:string,verdict:string>")
+    """struct(rule, verdict, names) of the longest rule whose host is the URL's or a parent of it and whose path begins the URL's; else null.
+
+    names are the tokens (see ``url_tokens``) of the rule itself.
+    """
+    out = F.lit(None).cast("struct<rule:string,verdict:string,names:array<string>>")
     for h, p, verdict in sorted(rules, key=lambda r: len(r[0] + r[1])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
-        out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
+        names = [f"host:{x}" for x in h.split(".") if x] + [f"path:{x.lower()}" for x in re.split(r"[/._-]+", p) if x]
+        out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"), F.array(*[F.lit(x) for x in names]).cast("array<string>").alias("names"))).otherwise(out)
     return out
 
 
@@ -63,15 +70,16 @@ def frequent_tokens(labelled: DataFrame, least: int) -> list[list[tuple[str, int
     return list(classes.values())
 
 
-def rule_table(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def rule_table(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
     """Rules (tokens, confidence, support, pivot) from (tokens, blocked).
 
     FP-growth runs on all labelled URLs with all their frequent tokens.  A rule goes if its support or
-    confidence is too low, or if fewer of its tokens are as confident.  So tokens that occur in exactly
+    confidence is too low, or its confidence is hardly above the share of blocked examples, or if fewer of its tokens are as confident.  So tokens that occur in exactly
     the same rows never make a rule together: one of them is mined, and its rules hold for each.
     The pivot is a rule's rarest token.  Itemsets and rules stay tables.
     """
-    total = labelled.count()
+    total, blocked = labelled.agg(F.count("*"), F.count_if("blocked")).first()
+    min_confidence = max(min_confidence, min_lift * blocked / max(total, 1))
     classes = frequent_tokens(labelled, math.ceil(min_support * total)) if total else []
     names = F.from_json(F.lit(json.dumps({c[0][0]: [{"n": n, "token": t} for t, n in c] for c in classes})), "map<string,array<struct<n:bigint,token:string>>>")
     mined = F.array(*[F.lit(c[0][0]) for c in classes]).cast("array<string>")
@@ -121,7 +129,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None
 
     The longest fitting fixed rule decides; without one, a mined rule that fits blocks and anything
     else is allowed.  ``labelled`` (url, blocked) are the examples to mine; without it, the URLs that a
-    fixed rule decides are.  Null URLs, and those without ``://``, have an empty host and path and are
+    fixed rule decides are, without the tokens that this rule itself names: those are blocked or allowed by definition, and
+    say nothing on other URLs.  Null URLs, and those without ``://``, have an empty host and path and are
     allowed; null ids and repeated rows keep their rows; empty tables give none; other columns are ignored.
     """
     rules = RULES if rules is None else rules
@@ -132,7 +141,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None
 
     rows = parsed(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))).drop("url")
     rows = materialise(rows, "urls")
-    examples = rows.where("fit is not null").select("tokens", (F.col("fit.verdict") == "block").alias("blocked")) if labelled is None else parsed(labelled).select("tokens", "blocked")
+    ruled = rows.where("fit is not null").select("fit", F.array_except("tokens", "fit.names").alias("tokens"))
+    examples = ruled.select("tokens", (F.col("fit.verdict") == "block").alias("blocked")) if labelled is None else parsed(labelled).select("tokens", "blocked")
     mined = rule_table(examples)
     hits = materialise(match_rules(rows.where("fit is null"), mined), "hits")
     judged = rows.where("fit is null").join(hits, "tokens", "left").select("id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("mined").isNull(), "allow").otherwise("block").alias("verdict"), "mined")

@@ -116,6 +116,26 @@ def test_rules_from_all_tokens_of_long_urls(spark):
     assert [(r["tokens"], r["support"], r["confidence"]) for r in rules] == [(["query:bad"], 0.25, 1.0)]
 
 
+def test_a_rule_teaches_nothing_about_its_own_words(spark):
+    """All of net/es/ and com/ are decided by definition; only what else their URLs have in common is learned."""
+    rows = [f"http://{h}.net/es/{k}" for h in ("good", "spam") for k in range(30)] + [f"http://good.com/de/{k}" for k in range(60)] + ["http://good.net/de/x", "http://spam.net/de/x", "http://spam.org/es/x", "http://other.net/es2/"]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id int, url string")
+    got = {r["page_id"]: r for r in url_filter.judge_urls(pages).collect()}
+    assert [(got[k]["verdict"], got[k]["mined"]) for k in range(120, 124)] == [("allow", None), ("block", "host:spam"), ("block", "host:spam"), ("allow", None)]
+
+
+def test_rules_need_lift(spark):
+    sets = [(["a"], True)] * 96 + [(["b"], False)] * 4 + [(["c"], True)] * 20
+    labelled = spark.createDataFrame(sets, "tokens array<string>, blocked boolean")
+    assert url_filter.mine_rules(labelled, 0.05, 0.95) == []
+    assert sorted(r["tokens"] for r in url_filter.rule_table(labelled, 0.05, 0.95, 1.0).collect()) == [["a"], ["c"]]
+
+
+def test_repeated_pages(spark):
+    pages = spark.createDataFrame([(1, "http://example.com/en/a")] * 3 + [(1, "http://a.org/")], "page_id int, url string")
+    assert sorted(r["verdict"] for r in url_filter.judge_urls(pages).collect()) == ["allow", "block", "block", "block"]
+
+
 def test_labels_teach_new_hosts(spark):
     labelled = spark.createDataFrame([(f"http://casino.org/p{k}", True) for k in range(50)] + [(f"http://school.org/p{k}", False) for k in range(50)], "url string, blocked boolean")
     pages = spark.createDataFrame([(1, "http://casino.org/x"), (2, "http://school.org/x")], "page_id int, url string")
