@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 from .common import materialise, new_path, table, text_or_empty
 
 CRLF = "\r\n"
-#: Captures of one archive file; a file is read whole by one task.
-FILE_CAPTURES = 2_000
+#: Bytes of one archive file at most, before compression, if it has more than one capture; one task reads a file.
+FILE_BYTES = 64 << 20
+#: Captures are written by size, at most so many bytes each, so that their number in a file bounds its bytes.
+SIZES = (8 << 10, 64 << 10, 512 << 10, 8 << 20)
+#: Bytes that are unpacked at once.
+CHUNK = 1 << 20
 RECORDS = (
     "record_id string, type string, concurrent_to string, target_uri string, refers_to string, payload_digest string, http_status int, "
     "payload_bytes bigint, payload binary, page_id bigint"
@@ -48,8 +52,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     speculation and commits work as for any table on any file system.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(text_or_empty(url_col), r"[\x00-\x20\x7f]", "%20").alias("url"), text_or_empty(html_col).alias("html"))
-    rows = materialise(rows.withColumn("uid", F.expr("uuid()")), "uids")
-    rows = rows.withColumn("digest", base32_sha1(F.col("html"))).withColumn("size", F.octet_length("html"))
+    rows = rows.withColumn("uid", F.expr("uuid()")).withColumn("digest", base32_sha1(F.col("html"))).withColumn("size", F.octet_length("html"))
+    rows = materialise(rows.withColumn("weight", F.col("size") + 3 * F.octet_length("url") + 2_048), "uids")
     repeated = rows.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.max(F.struct("id", "uid")).alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("last.id").alias("first"), F.col("last.uid").alias("first_uid"))
     rows = rows.join(materialise(repeated, "payloads"), "digest", "left").withColumn("revisit", F.coalesce((F.col("size") >= min_bytes) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.lit(False)))
 
@@ -78,32 +82,67 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             F.when(F.col("revisit"), F.concat(F.lit(f"{CRLF}refers-to-page: "), F.coalesce(F.col("first").cast("string"), F.lit("")))).otherwise(""), F.lit(CRLF),
         ),
     )
-    rows.select(F.concat_ws(CRLF * 2, asked, answered, noted).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_CAPTURES).text(path)
+    out = F.concat_ws(CRLF * 2, asked, answered, noted).alias("value")
+    largest = rows.agg(F.max("weight")).first()[0] or 0
+    for low, high in zip((0, *SIZES), (*SIZES, None), strict=True):
+        if low < largest or not low:
+            part = rows.where((F.col("weight") > low) & (F.col("weight") <= high if high else F.lit(True))).select(out)
+            part.write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_BYTES // high if high else 1).text(path)
 
 
-def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an archive, gzipped as a whole, by record, or not at all."""
-    if data[:2] == b"\x1f\x8b":
-        plain = []
-        while data:
-            d = zlib.decompressobj(31)
-            plain.append(d.decompress(data))
-            data = d.unused_data
-        data = b"".join(plain)
-    at = 0
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """An archive's bytes in steps; gzipped as a whole, by record, or not at all."""
+    view, at, packed = memoryview(data), 0, data[:2] == b"\x1f\x8b"
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split(CRLF)
+        d = zlib.decompressobj(31) if packed else None
+        while at < len(data) and not (d and d.eof):
+            piece = view[at : at + CHUNK]
+            at += len(piece)
+            yield d.decompress(piece, CHUNK) if d else bytes(piece)
+            while d and d.unconsumed_tail:
+                yield d.decompress(d.unconsumed_tail, CHUNK)
+        if d:
+            yield d.flush()
+            at -= len(d.unused_data)
+
+
+def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of an archive; no more than a record and a step of it are held unpacked."""
+    steps, held, at = unpacked(data), bytearray(), 0
+
+    def fill() -> bool:
+        nonlocal held
+        more = next(steps, None)
+        if more is not None:
+            held += more
+        return more is not None
+
+    while True:
+        while (end := held.find(b"\r\n\r\n")) < 0 and fill():
+            pass
+        if end < 0:
+            if held.strip():
+                raise ValueError(f"no WARC record at byte {at}")
+            return
+        version, *lines = held[:end].decode().split(CRLF)
         if not version.startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers["content-length"])
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        stop = end + 4 + int(headers["content-length"])
+        while len(held) < stop + 4 and fill():
+            pass
+        if len(held) < stop:
+            raise ValueError(f"the WARC record at byte {at} ends early")
+        yield headers, bytes(held[end + 4 : stop])
+        del held[: stop + 4]
+        at += stop + 4
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """One row per record of all archives under ``path``.  Payload length and digest of a response are those of the bytes read."""
+    """One row per record of all archives under ``path``; none for empty archives.
+
+    Payload length and digest of a response are those of the bytes read; a header that a record lacks is null; repeated records keep their rows.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in RECORDS.split(", ")]

@@ -59,6 +59,34 @@ def test_each_row_is_a_capture(spark):
     assert [answers[r["refers_to"]] for r in records.where("type = 'revisit'").collect()] == ["response"]
 
 
+def test_files_are_rolled_by_bytes(spark, monkeypatch, tmp_path):
+    import gzip
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 100_000)
+    monkeypatch.setattr(warc, "SIZES", (5_000, 50_000))
+    html = [(k, "http://a/", f"{k} " * n) for k, n in enumerate([1] * 60 + [5_000] * 9 + [100_000])]
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame(html, "page_id long, url string, html string").coalesce(1), path)
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in (tmp_path / "w").glob("*.gz")]
+    assert sum(n > 100_000 for n in sizes) == 1 and len(sizes) > 3
+    got = warc.captures(warc.read_records(spark, path)).collect()
+    assert {r["metadata"]["page_id"]: bytes(r["response"]["payload"]).decode() for r in got} == {i: h for i, _, h in html}
+
+
+@pytest.mark.parametrize("chunk", [7, 1 << 20])
+def test_archives_in_any_packing(monkeypatch, chunk):
+    import gzip
+
+    monkeypatch.setattr(warc, "CHUNK", chunk)
+    blocks = [b"", b"a\r\n\r\nb" * 50, bytes(range(256)) * 40, b"x" * 20_000]
+    records = [b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in blocks]
+    for data in (b"".join(records), gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records))):
+        assert [b for _, b in warc.parse_archive(data)] == blocks
+    assert list(warc.parse_archive(b"")) == []
+    with pytest.raises(ValueError):
+        list(warc.parse_archive(records[3][:-100]))
+
+
 def test_small_payloads_are_responses(spark):
     pages = spark.createDataFrame([(k, "http://a/", "same") for k in range(5)], "page_id long, url string, html string")
     path = new_path(spark, "warc")
