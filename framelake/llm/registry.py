@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import bpe_codec, exact_dedup, merkle, packing, pii, quality, simhash, token_counts, url_filter, warc
+from . import bpe_codec, exact_dedup, merkle, packing, pii, pipeline, quality, simhash, token_counts, url_filter, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -17,6 +15,6 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_merkle": merkle.op9_merkle,
     "op10_bpe": bpe_codec.op10_bpe,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 ORACLES = {**exact_dedup.ORACLE, **warc.ORACLE}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import new_path, table, text_or_empty
+from .common import materialise, new_path, table, text_or_empty
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens bigint"
 
@@ -51,11 +51,12 @@ def count_tokens(
             yield pd.DataFrame({"digest": b["digest"], "version": version, "n_tokens": [len(codec.encode(t)) for t in b["text"]]})
 
     misses.mapInPandas(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path, version)
+    counts = materialise(read_cache(spark, cache_path, version), "counts")  # so that both sides of the join are plain exchanges, and a hot digest can be split
     return keyed.select(id_col, "digest", "n_bytes").join(counts, "digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op2_token_counts(spark: SparkSession, sf_dir: str, cache_path: str | None = None) -> DataFrame:
+    """A job keeps its ``cache_path``; without one the cache starts empty."""
     import public_tokenizers
 
-    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), new_path(spark, "token-cache"))
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache_path or new_path(spark, "token-cache"))
