@@ -1,56 +1,5 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences: see framelake/llm/pipeline.py."""
 
-from __future__ import annotations
+from framelake.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from framelake.llm import exact_dedup, packing, pii, quality, simhash
-from framelake.llm.common import materialise, table
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def with_length(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels"))).select(COLUMNS)
-
-
-def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id stays."""
-    return exact_dedup.drop_copies(docs).select(COLUMNS)
-
-
-def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest doc_id."""
-    return simhash.drop_near_copies(docs).select(COLUMNS)
-
-
-def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets."""
-    return with_length(pii.redact(docs, pii.train_selector(docs)))
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document in a sequence."""
-    import public_tokenizers
-
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
-
-
-STAGES = [("quality", quality_stage), ("exact", exact_stage), ("near", near_stage), ("pii", pii_stage), ("packing", packing_stage)]
-
-#: A trained classifier decides in the first stage, which SQL can't express; see tests/llm/test_pipeline.py.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
