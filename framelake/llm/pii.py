@@ -275,7 +275,7 @@ def train_selector(docs: DataFrame, text_col: str = "text", most: int = MAX_TRAI
     the least probability from which PRECISION of the calibration half are positive; a kind with few
     examples gets FALLBACK.  An empty table gives a selector that selects nothing.
     """
-    made = made_examples(docs, text_col, most)
+    made = materialise(made_examples(docs, text_col, most), "examples")  # else every pattern would make the texts anew
     found = with_candidates(made, "text").select("key", "start", "end", "kind", F.explode("__candidates").alias("c"))
     close = (F.abs(F.col("c.start") - F.col("start")) <= 2) & (F.abs(F.col("c.end") - F.col("end")) <= 2)
     label = F.when(F.col("kind").isNull() & (F.col("c.start") < F.col("end")) & (F.col("start") < F.col("c.end")), 0.0).when(close & (F.col("kind") == F.col("c.order")), 1.0)
