@@ -24,9 +24,14 @@ DEPTH = 5
 ANONYMOUS = "Person"
 
 
+TEXTS = (*LABELLED, "chunk_summary")
+
+
 def parse(text: Column) -> Column:
-    """The document as a struct; bad JSON gives a struct of nulls."""
-    return F.from_json(text, SCHEMA)
+    """The document as a struct; bad JSON gives a struct of nulls.  A text field that holds no string is null, as is one of scenes that is no list."""
+    d, v = F.from_json(text, SCHEMA), F.try_parse_json(text)
+    kept = [F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")) == "STRING", d[k]).alias(k) for k in TEXTS]
+    return F.struct(*kept, *[d[k].alias(k) for k in ("prompt_type", "chunk_index", "token_usage", "finish_reason", "scenes", "notable_observations")])
 
 
 def parse_model_answer(text: Column) -> Column:
@@ -34,6 +39,40 @@ def parse_model_answer(text: Column) -> Column:
     return F.try_parse_json(F.regexp_replace(strip(text), r"^```(?:json)?\s*|\s*```$", ""))
 
 
+def answer_or_error(text: Column) -> Column:
+    """The answer's JSON text, or an object that says it can't be parsed and holds the raw answer."""
+    got = parse_model_answer(text)
+    error = F.to_json(F.struct(F.lit("Failed to parse response").alias("error"), text.alias("raw_response")))
+    return F.coalesce(F.to_json(got), error)
+
+
+def analysis_result(text: Column, reason: Column, structured: Column) -> Column:
+    """struct(data, raw_text, raw_response, parse_error, finish_reason) of a model's answer: a failure to parse stays a row."""
+    data = F.try_parse_json(text)
+    bad = structured & data.isNull()
+    return F.struct(
+        F.when(structured, F.to_json(data)).alias("data"), F.when(~structured, text).alias("raw_text"), F.when(bad, text).alias("raw_response"),
+        F.when(bad, "invalid JSON").alias("parse_error"), reason.alias("finish_reason"),
+    )
+
+
+def candidate_context(raw: Column, text: Column) -> Column:
+    """struct(analysis, text_content): the full analysis where there is one, else the text."""
+    has = F.coalesce(filled(raw), F.lit("")) != ""
+    return F.struct(F.when(has, raw).alias("analysis"), F.when(~has, F.coalesce(text, F.lit(""))).alias("text_content"))
+
+
+def usage(prompt: Column, answer: Column, cost: Column) -> Column:
+    """Token use of one result, as its document nests it."""
+    return F.struct(prompt.cast("long").alias("prompt_tokens"), answer.cast("long").alias("candidates_tokens"), (prompt + answer).cast("long").alias("total_tokens"), cost.alias("estimated_cost_usd"))
+
+
+def serialised(document: Column) -> Column:
+    """JSON of a document; an empty one is null."""
+    text = F.to_json(document)
+    return F.nullif(text, F.lit("{}"))
+
+
 def names_of(scenes: Column) -> Column:
     """Distinct named people in order of first appearance."""
     labels = F.flatten(F.transform(F.coalesce(scenes, F.array()), lambda s: F.coalesce(F.transform(s["people"], lambda p: p["label"]), F.array().cast("array<string>"))))

@@ -23,11 +23,17 @@ BASE_HEIGHT = 480
 SEARCHABLE_TYPES = ("scene_analysis", "custom")
 HIDDEN_STATUSES = ("archived", "failed")
 AUDIO_EXTENSIONS = ("mp3", "wav", "aac", "m4a")
+#: Lines of a resolution, codec and bits per second of an audio setting; with defaults.
+HEIGHTS, DEFAULT_HEIGHT = {"360p": 360, "480p": 480, "720p": 720, "1080p": 1080, "1440p": 1440, "2160p": 2160}, 480
+AUDIO_CODECS, DEFAULT_CODEC = {"aac": "aac", "mp3": "mp3", "wav": "pcm_s16le"}, "aac"
+AUDIO_BITRATES, DEFAULT_BITRATE = {"96k": 96_000, "128k": 128_000, "192k": 192_000, "256k": 256_000, "320k": 320_000}, 128_000
+#: White space of any script, as a regular expression's class.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"^{SPACE}+|(?<!{SPACE}){SPACE}+$", "")
 
 
 def filled(c: Column) -> Column:
@@ -56,6 +62,79 @@ def label_of(key: Column) -> Column:
     return F.initcap(F.replace(key, F.lit("_"), F.lit(" ")))
 
 
+def title_of(key: Column) -> Column:
+    """``scene_ANALYSIS`` to ``Scene ANALYSIS``: first letters only, the rest of each word as it is."""
+    return F.array_join(F.transform(F.split(key, "_"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), " ")
+
+
+def chosen(value: Column, table: dict, default) -> Column:  # noqa: ANN001
+    """The table's entry, or the default for an unknown or null key."""
+    out = F.lit(default)
+    for k, v in table.items():
+        out = F.when(value == k, F.lit(v)).otherwise(out)
+    return out
+
+
+def height_of(resolution: Column) -> Column:
+    return chosen(resolution, HEIGHTS, DEFAULT_HEIGHT)
+
+
+def audio_codec(kind: Column) -> Column:
+    return chosen(kind, AUDIO_CODECS, DEFAULT_CODEC)
+
+
+def audio_bitrate(setting: Column) -> Column:
+    return chosen(setting, AUDIO_BITRATES, DEFAULT_BITRATE)
+
+
+def finite(x: Column) -> Column:
+    """Null for what is no number of seconds: NaN and infinities."""
+    return F.when(F.abs(x) < float("inf"), x)
+
+
+def utf16_length(c: Column) -> Column:
+    """Length in UTF-16 units: characters beyond the basic plane count twice."""
+    return F.char_length(c) + F.char_length(F.regexp_replace(c, r"[^\x{10000}-\x{10ffff}]", ""))
+
+
+def sync_status(stored: Column, fresh: Column) -> Column:
+    """The stored state; none is ``not_synced``, and a pending one gives way to what the index says now."""
+    s = F.coalesce(filled(stored), F.lit("not_synced"))
+    return F.when((s == "pending") & fresh.isNotNull(), fresh).otherwise(s)
+
+
+def iso_time(t: Column) -> Column:
+    """ISO-8601 with microseconds only where there are any."""
+    return F.when(F.date_format(t, "SSSSSS") == "000000", F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def percent(score: Column) -> Column:
+    """Half up, as a whole number."""
+    return F.floor(score * 100 + 0.5).cast("long")
+
+
+def seconds_and_nanos(seconds: Column) -> Column:
+    whole = F.floor(seconds)
+    return F.struct(whole.cast("long").alias("seconds"), ((seconds - whole) * 1_000_000_000).cast("long").alias("nanos"))
+
+
+def retry_after_minutes(seconds: Column) -> Column:
+    return F.ceil(seconds / 60).cast("long")
+
+
+def cutoff(now: Column, minutes: int) -> Column:
+    """Start of the trailing window."""
+    return now - F.expr(f"interval {minutes} minutes")
+
+
+def expiry(now: Column, minutes: int) -> Column:
+    return now + F.expr(f"interval {minutes} minutes")
+
+
+def match_reason(distance: Column) -> Column:
+    return F.concat(F.lit("Matched search query with distance "), F.format_string("%.3f", F.coalesce(distance, F.lit(0.0))))
+
+
 def money(c: Column, digits: int = 6) -> Column:
     return F.round(c.cast("decimal(38,12)"), digits).cast("double")
 
@@ -118,6 +197,13 @@ def object_path(uri: Column, scheme: str = "gs") -> tuple[Column, Column]:
     return F.when(ok, F.regexp_extract(uri, pattern, 1)), F.when(ok, F.regexp_extract(uri, pattern, 2))
 
 
+def checked_object_path(uri: Column, scheme: str = "gs") -> tuple[Column, Column]:
+    """As ``object_path``, and a path that isn't one stops the query."""
+    bucket, name = object_path(uri, scheme)
+    bad = F.raise_error(F.concat(F.lit(f"no {scheme}:// path: "), F.coalesce(uri, F.lit("null")))).cast("string")
+    return F.when(bucket.isNull(), bad).otherwise(bucket), F.when(name.isNull(), bad).otherwise(name)
+
+
 def last_segment(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -173,11 +259,27 @@ def elapsed_label(start: Column, end: Column, status: Column) -> Column:
     return F.when((status == "completed") & start.isNotNull() & end.isNotNull() & (s >= 0), text)
 
 
+def stem_and_extension(name: Column) -> tuple[Column, Column]:
+    """(what is before the last dot, what is after it); without a dot (the name, '')."""
+    dotted = F.contains(name, F.lit("."))
+    ext = F.when(dotted, F.element_at(F.split(name, r"\."), -1)).otherwise("")
+    return F.when(dotted, F.substring(name, F.lit(1), F.char_length(name) - F.char_length(ext) - 1)).otherwise(name), ext
+
+
 def shorten(name: Column, most: int = 30) -> Column:
-    """Head, dots and the extension of a long file name."""
-    ext = F.when(F.contains(name, F.lit(".")), F.concat(F.lit("."), F.element_at(F.split(name, r"\."), -1))).otherwise("")
-    room = F.greatest(F.lit(most) - F.length(ext) - 3, F.lit(1))
-    return F.when(F.char_length(name) > most, F.concat(F.substring(name, F.lit(1), room), F.lit("..."), ext)).otherwise(name)
+    """Both ends of a long file name's stem around dots, and its extension; the larger half is the first."""
+    stem, ext = stem_and_extension(name)
+    room = F.lit(most) - F.char_length(ext) - 4
+    cut = F.concat(F.substring(stem, F.lit(1), F.ceil(room / 2).cast("int")), F.lit("..."), F.right(stem, F.floor(room / 2).cast("int")), F.lit("."), ext)
+    head = F.concat(F.substring(F.when(ext == "", stem).otherwise(name), 1, most - 3), F.lit("..."))
+    return F.when(F.char_length(name) <= most, name).when((ext == "") | (room <= 0), head).otherwise(cut)
+
+
+def compact(name: Column) -> Column:
+    """Four characters from both ends of a stem of more than 12."""
+    stem, ext = stem_and_extension(name)
+    short = F.concat(F.substring(stem, 1, 4), F.lit("..."), F.right(stem, F.lit(4)), F.when(F.contains(name, F.lit(".")), F.concat(F.lit("."), ext)).otherwise(""))
+    return F.when(F.char_length(stem) > 12, short).otherwise(name)
 
 
 def client_ip(forwarded: Column, host: Column) -> Column:
@@ -196,8 +298,11 @@ def model_name(c: Column) -> Column:
     return F.regexp_replace(c, "^models/", "")
 
 
-def export_stem(name: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(name, r"\.[^.]*$", ""), "[^A-Za-z0-9]", "_")
+def export_name(name: Column, prompt: Column, kind: Column, now: Column, extension: str) -> Column:
+    """``clip_My_prompt_2025-01-01-10-00-00.csv``: stem, prompt's name or type, time in UTC."""
+    base = F.when(filled(name).isNotNull(), F.regexp_replace(name, r"\.[^/.]+$", "")).otherwise("scene")
+    what = F.coalesce(F.regexp_replace(filled(prompt), "[^A-Za-z0-9]", "_"), filled(kind), F.lit("analysis"))
+    return F.concat(base, F.lit("_"), what, F.lit("_"), F.date_format(now, "yyyy-MM-dd-HH-mm-ss"), F.lit(f".{extension}"))
 
 
 def prompt_name(name: Column, other: Column, key: Column) -> Column:

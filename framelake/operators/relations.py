@@ -6,9 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def newest(df: DataFrame, at: str, key: str, n: int = 50, where: Column | None = None) -> DataFrame:
+def lookup(df: DataFrame, key: str, value) -> DataFrame:  # noqa: ANN001
+    """The row of a key, or none.  The filter reaches the scan; no other file or row group is read whose bounds exclude it."""
+    return df.where(F.col(key) == value).limit(1)
+
+
+def key_set(df: DataFrame, key: str) -> DataFrame:
+    return df.select(key).where(F.col(key).isNotNull()).distinct()
+
+
+def with_all(df: DataFrame, terms: dict[str, object | None]) -> DataFrame:
+    """Rows equal to every term that is given; a null term asks for nothing."""
+    for column, value in terms.items():
+        if value is not None:
+            df = df.where(F.col(column) == value)
+    return df
+
+
+def among(df: DataFrame, key: str, values: list) -> DataFrame:
+    """Rows whose key is one of a short list; of an empty list none, without a scan."""
+    return df.where(F.col(key).isin(values)) if values else df.limit(0)
+
+
+def newest(df: DataFrame, at: str, key: str, n: int | None = 50, where: Column | None = None) -> DataFrame:
+    """Newest first, n or all; rows without a time are left out."""
     df = df if where is None else df.where(where)
-    return df.where(F.col(at).isNotNull()).orderBy(F.col(at).desc(), key).limit(n)
+    df = df.where(F.col(at).isNotNull()).orderBy(F.col(at).desc(), key)
+    return df if n is None else df.limit(n)
 
 
 def limit_then_sort(df: DataFrame, where: Column, key: str, at: str, n: int) -> DataFrame:
@@ -36,7 +60,7 @@ def unreferenced(parents: DataFrame, children: DataFrame, key: str) -> DataFrame
 
 
 def roll_up(rows: DataFrame, job: str, tokens: Column, cost: Column, reason: Column, order: list[str]) -> DataFrame:
-    """Per job: tokens, cost rounded once, and the last reason that isn't missing in the order given."""
+    """Per job: tokens, cost rounded once, and the last reason that isn't missing in the order given.  Leave error rows out before."""
     return rows.groupBy(job).agg(
         F.sum(F.coalesce(tokens, F.lit(0))).alias("total_tokens"), F.round(F.sum(F.coalesce(cost, F.lit(0)).cast("decimal(30,8)")), 6).cast("double").alias("total_cost"),
         F.coalesce(F.max_by(reason, F.when(reason.isNotNull(), F.struct(*order))), F.lit("completed")).alias("stop_reason"),
@@ -44,8 +68,11 @@ def roll_up(rows: DataFrame, job: str, tokens: Column, cost: Column, reason: Col
 
 
 def current(log: DataFrame, key: str, seq: str, op: str) -> DataFrame:
-    """Latest row per key of an append log; a deleted key has none.  Replayed rows change nothing."""
-    newest_first = Window.partitionBy(key).orderBy(F.col(seq).desc(), op)
+    """Latest row per key of an append log; a deleted key has none.
+
+    Replayed rows change nothing; of different rows of one place in the order the smaller op and then the smaller row counts.
+    """
+    newest_first = Window.partitionBy(key).orderBy(F.col(seq).desc(), op, F.to_json(F.struct("*")))
     return log.withColumn("__r", F.row_number().over(newest_first)).where((F.col("__r") == 1) & (F.col(op) != "delete")).drop("__r")
 
 
@@ -79,8 +106,62 @@ def guarded_delete(rows: DataFrame, asked: DataFrame, users: DataFrame, key: str
     return rows.join(goes, key, "left_anti")
 
 
+def appended(log: DataFrame, rows: DataFrame, id_col: str, of: list[str]) -> DataFrame:
+    """``log`` and ``rows`` with an id made from some of their columns, so that a replay makes the same one; ids already there are left out."""
+    made = rows.withColumn(id_col, F.substring(F.sha2(F.to_json(F.struct(*of), {"ignoreNullFields": "false"}), 256), 1, 20)).dropDuplicates([id_col])
+    return log.unionByName(made.join(log, id_col, "left_anti"), allowMissingColumns=True)
+
+
+def without_keys(index: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    return index.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def without_fields(rows: DataFrame, keys: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """The fields of the given keys' rows are removed (null), as when a result leaves the index."""
+    gone = rows.join(keys.select(key).distinct().withColumn("__gone", F.lit(True)), key, "left")
+    return gone.select(*[F.when(F.col("__gone").isNull(), F.col(c)).alias(c) if c in fields else F.col(c) for c in rows.columns])
+
+
+def seeded(rows: DataFrame, defaults: DataFrame, kind: str) -> DataFrame:
+    """Defaults join in for each kind that has no row yet."""
+    return rows.unionByName(defaults.join(rows, kind, "left_anti"), allowMissingColumns=True)
+
+
+def patches_with_a_value(patches: DataFrame, columns: list[str]) -> DataFrame:
+    """Patches that change something; one with nothing but nulls is refused."""
+    return patches.dropna("all", subset=columns)
+
+
+def with_defaults(rows: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    return rows.select(*[F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in rows.columns])
+
+
+def progress(rows: DataFrame, key: str, done: Column) -> DataFrame:
+    return rows.groupBy(key).agg(F.count_if(done).alias("completed"), F.count("*").alias("total"))
+
+
 def classify_sync(asked: DataFrame, results: DataFrame, indexed: DataFrame, key: str, resync: bool = False) -> DataFrame:
     """Per requested key: insert, replace, skip or not_found."""
     r, i = results.select(key).distinct().withColumn("__r", F.lit(True)), indexed.select(key).distinct().withColumn("__i", F.lit(True))
     known = F.when(F.lit(resync), "replace").otherwise("skip")
     return asked.distinct().join(r, key, "left").join(i, key, "left").select(key, F.when(F.col("__r").isNull(), "not_found").when(F.col("__i").isNotNull(), known).otherwise("insert").alias("action"))
+
+
+def synced(index: DataFrame, results: DataFrame, asked: DataFrame, key: str, state: str, resync: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(index afterwards, outcome per asked key) of bringing results into the index.
+
+    A result whose ``state`` is pending or ready is in it: it's skipped, and with ``resync`` replaced.  Others are
+    inserted; what ``results`` lacks is an error.  Rows of the index under a replaced key go first, so a key never has two.
+    """
+    known = asked.select(key).distinct().join(results, key, "left").withColumn("__in", F.col(state).isin("pending", "ready"))
+    action = F.when(F.col("__found").isNull(), "not_found").when(F.coalesce("__in", F.lit(False)), "replace" if resync else "skip").otherwise("insert")
+    found = results.select(key).distinct().withColumn("__found", F.lit(True))
+    rated = known.join(found, key, "left").withColumn("action", action).drop("__in", "__found")
+    new = rated.where(F.col("action").isin("insert", "replace")).select(*index.columns)
+    after = without_keys(index, rated.where(F.col("action") == "replace"), key).unionByName(new)
+    return after, rated.select(key, "action", F.when(F.col("action") == "not_found", F.concat(F.lit("Result "), F.col(key).cast("string"), F.lit(" not found"))).alias("error"))
+
+
+def sync_report(outcome: DataFrame) -> DataFrame:
+    """Counts as the caller is told them: skipped results count as synced."""
+    return outcome.agg(F.count_if(F.col("action") != "not_found").alias("synced_count"), F.count_if(F.col("action") == "not_found").alias("errors"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import decimal
 import json
 import math
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -16,6 +18,8 @@ from ..functions.scalars import chunk_name
 
 HIDDEN = ("gemini_file_uri", "chunk_metadata", "blocked")
 ARRAY_LIMIT, SAMPLE, INDEXED, MAX_DEPTH = 50, 3, 10, 10
+#: Lists of a document whose items have times, and these.
+TIMED, TIMES = ("scenes", "events", "moments", "highlights"), ("timestamp", "start_time", "end_time")
 
 
 def chunk_array(total: Column, length: Column, on: Column | None = None) -> Column:
@@ -46,44 +50,120 @@ def joined_text(df: DataFrame, group: str, order: str, text: str, separator: str
     return df.groupBy(group).agg(F.array_join(parts, separator).alias("joined"))
 
 
-def shown(x: Any) -> str:
-    if x is None:
+def number(x: float) -> str:
+    """A number as a browser writes it: no exponent from 1e-7 up to 1e21, no trailing zeros, nothing for what isn't finite."""
+    if math.isnan(x) or math.isinf(x):
         return ""
-    if isinstance(x, bool):
-        return "true" if x else "false"
-    if isinstance(x, float):
-        return "" if math.isnan(x) or math.isinf(x) else str(int(x)) if x == int(x) else repr(x)
-    return x if isinstance(x, str) else json.dumps(x, separators=(",", ":"), ensure_ascii=False) if isinstance(x, dict | list) else str(x)
-
+    if x == int(x) and abs(x) < 1e21:
+        return str(int(x))
+    if 1e-6 <= abs(x) < 1e21:
+        return format(decimal.Decimal(repr(x)), "f").rstrip("0").rstrip(".")
+    return re.sub(r"e([+-])0*(\d)", r"e\1\2", repr(x))
 
-def flat_items(x: Any, prefix: str = "", depth: int = 0) -> Iterator[tuple[str, str]]:
-    """Dotted keys of a nested value.
 
-    Hidden keys and those that hold ``chunk_`` or ``video_`` are left out; long arrays give a count
-    and a sample; small uniform arrays of objects are indexed; other arrays are joined.
+def as_json(x: Any) -> str:
+    """Compact JSON with numbers as ``number`` writes them."""
+    if isinstance(x, bool) or x is None:
+        return json.dumps(x)
+    if isinstance(x, float):
+        return number(x) or "null"
+    if isinstance(x, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{as_json(v)}" for k, v in x.items()) + "}"
+    if isinstance(x, list):
+        return "[" + ",".join(map(as_json, x)) + "]"
+    return json.dumps(x, ensure_ascii=False)
+
+
+def text_of(x: Any) -> str:
+    """One value of a list: objects, lists and null as JSON, texts as they are."""
+    return x if isinstance(x, str) else as_json(x)
+
+
+def cells_of(name: str, x: Any, depth: int) -> Iterator[tuple[str, str]]:
+    """Cells of a value under its dotted name.
+
+    =====================================================  ==========================================
+    a text, number, truth value                            itself
+    null, an empty list, a number that isn't finite        an empty cell
+    a list of more than ARRAY_LIMIT                        its size, and a sample of SAMPLE joined by ``; ``
+    at most INDEXED objects whose keys the first one has   each object under name[index]
+    another list that starts with an object or a list      all joined by `` | ``
+    a list that starts otherwise                           all but nulls joined by ``; ``
+    an object                                              its own cells
+    =====================================================  ==========================================
     """
+    match x:
+        case dict():
+            yield from flat_items(x, name, depth + 1)
+        case list() if len(x) > ARRAY_LIMIT:
+            yield from ((name, f"[{len(x)} items]"), (f"{name}_sample", "; ".join(map(text_of, x[:SAMPLE]))))
+        case [dict() as first, *_] if len(x) <= INDEXED and all(isinstance(i, dict) and i.keys() <= first.keys() for i in x):
+            for n, i in enumerate(x):
+                yield from flat_items(i, f"{name}[{n}]", depth + 1)
+        case [dict() | list(), *_]:
+            yield name, " | ".join(map(text_of, x))
+        case list():
+            yield name, "; ".join(text_of(i) for i in x if i is not None)
+        case None:
+            yield name, ""
+        case float():
+            yield name, number(x)
+        case _:
+            yield name, text_of(x)
+
+
+def flat_items(x: dict, prefix: str = "", depth: int = 0) -> Iterator[tuple[str, str]]:
+    """Dotted keys of a nested value; hidden keys and those that hold ``chunk_`` or ``video_`` are left out; what lies too deep stays JSON."""
     if depth > MAX_DEPTH:
-        yield prefix, json.dumps(x)
+        yield prefix, as_json(x)
         return
     for k, v in x.items():
-        if k in HIDDEN or "chunk_" in k or "video_" in k:
-            continue
-        name = f"{prefix}.{k}" if prefix else k
-        if isinstance(v, dict):
-            yield from flat_items(v, name, depth + 1)
-        elif isinstance(v, list) and len(v) > ARRAY_LIMIT:
-            yield name, f"[{len(v)} items]"
-            yield f"{name}_sample", "; ".join(map(shown, v[:SAMPLE]))
-        elif isinstance(v, list) and v and all(isinstance(i, dict) for i in v):
-            if len(v) <= INDEXED and all(set(i) <= set(v[0]) for i in v):
-                for n, i in enumerate(v):
-                    yield from flat_items(i, f"{name}[{n}]", depth + 1)
-            else:
-                yield name, " | ".join(map(shown, v))
-        elif isinstance(v, list):
-            yield name, "; ".join(shown(i) for i in v if i is not None)
-        else:
-            yield name, shown(v)
+        if k not in HIDDEN and "chunk_" not in k and "video_" not in k:
+            yield from cells_of(f"{prefix}.{k}" if prefix else k, v, depth)
+
+
+def with_times(x: Any, start: float, length: float) -> Any:
+    """A chunk's document with its place in the whole: chunk_metadata, and times of its timed items from the whole's start.
+
+    Only times that are numbers move; the item keeps them, and has them again as ``chunk_`` and ``video_`` times.
+    """
+    def moved(item: Any) -> Any:
+        if not isinstance(item, dict):
+            return item
+        times = {k: v for k, v in item.items() if k in TIMES and isinstance(v, int | float) and not isinstance(v, bool)}
+        return item | {f"video_{k}": start + v for k, v in times.items()} | {f"chunk_{k}": v for k, v in times.items()}
+
+    lists = {k: [moved(i) for i in x[k]] for k in TIMED if isinstance(x.get(k), list)}
+    place = {"chunk_index": round(start / length) if length else 0, "chunk_start_time": start, "chunk_duration": length, "video_timestamp_start": start, "video_timestamp_end": start + length}
+    return x | lists | {"chunk_metadata": place}
+
+
+@F.pandas_udf(StringType())
+def timed(raw: pd.Series, start: pd.Series, length: pd.Series) -> pd.Series:
+    """JSON of a chunk with times from the start of the whole; what is no JSON object stays as it is."""
+    def one(x: str | None, a: float, n: float) -> str | None:
+        try:
+            v = json.loads(x) if x else None
+        except ValueError:
+            return x
+        return as_json(with_times(v, a, n)) if isinstance(v, dict) else x
+
+    return pd.Series([one(x, float(a), float(n)) for x, a, n in zip(raw, start, length, strict=True)], dtype="object")
+
+
+def sequential(df: DataFrame, group: str, order: str, raw: str, length: float) -> DataFrame:
+    """Chunks of an asset in order: result_id (their place as text), position, and ``raw`` with times from the asset's start."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
+    df = df.withColumn("position", place).withColumn("result_id", F.col("position").cast("string"))
+    return df.withColumn(raw, timed(F.col(raw), F.col("position") * F.lit(float(length)), F.lit(float(length))))
+
+
+def export_json(df: DataFrame, job: str, video: Column, filename: Column, order: str, raw: str, length: float) -> DataFrame:
+    """(job, export): one JSON object per job with all its results in order.  A job's results are one array: its chunks, some hundreds."""
+    results = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(raw).alias("r")))), lambda x: x["r"])
+    one = df.groupBy(job).agg(F.first(video).alias("v"), F.first(filename).alias("f"), F.count("*").alias("n"), results.alias("r"))
+    head = F.to_json(F.struct(F.col(job).cast("string").alias("job_id"), F.col("v").alias("video_id"), F.col("f").alias("filename"), F.lit(length).alias("chunk_duration"), F.col("n").alias("total_chunks")))
+    return one.select(job, F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"results":['), F.array_join("r", ","), F.lit("]}")).alias("export"))
 
 
 @F.pandas_udf(MapType(StringType(), StringType()))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.scalars import sync_status
 from ..operators.admission import admit
 
 #: Status to the statuses that may follow it.
@@ -17,25 +19,86 @@ TRANSITIONS = {
     "pending": {"processing", "transcoding", "failed"}, "transcoding": {"completed", "failed"}, "processing": {"completed", "failed"}, "completed": {"archived"}, "failed": set(), "archived": set(),
 }
 
+#: Statuses in which a job is waited for.
+AT_WORK = ("transcoding", "processing")
+
 #: Events of one array.
 CHUNK = 1_000
 
 
-def admission_stream(requests: DataFrame, key: str, at: str, order: str, limit: int, window_seconds: int) -> DataFrame:
-    """As ``operators.admission`` over a stream: accepted times are the state, and a key idle for a window is forgotten."""
-    slim = requests.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("id"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"))
+def in_order(state: GroupState, batches: Iterator[pd.DataFrame], columns: list[str]) -> tuple[tuple, list[tuple], list[tuple]]:
+    """(what else the state holds, events up to the watermark in order, later ones).  Events are held until the watermark has passed them."""
+    held, *rest = state.get if state.exists else (None,)
+    events = [tuple(json.loads(x)) for x in held or []] + [tuple(r) for b in batches for r in b[columns].astype(object).where(b[columns].notna(), None).itertuples(index=False, name=None)]
+    events.sort(key=lambda e: (e[0], str(e[1:])) if not isinstance(e[1], int) else (e[0], f"{e[1]:020d}"))
+    now = state.getCurrentWatermarkMs() * 1000
+    return tuple(rest), [e for e in events if e[0] <= now], [e for e in events if e[0] > now]
+
+
+def admission_stream(requests: DataFrame, key: str, at: str, order: str, limit: int, window_seconds: int, lateness: str = "10 seconds") -> DataFrame:
+    """As ``operators.admission`` over a stream, by event time.
+
+    A request is decided once the watermark has passed it, so rows that come late, but within ``lateness``, are decided in
+    their place; later ones are dropped.  Accepted times are the state; a key is forgotten when they have all left the
+    window.  Rows without a time have no place and are dropped.
+    """
+    window = window_seconds * 1_000_000
+    slim = requests.withWatermark(at, lateness).where(F.col(at).isNotNull())
+    slim = slim.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("id"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(at))
 
     def step(k: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        (kept,) = state.get[1:] if state.exists else ([],)
+        _, ready, later = in_order(state, batches, ["t", "id"])
+        accepted, kept = admit([t for t, _ in ready], limit, window, kept)
+        if later or kept:
+            state.update(([json.dumps(e) for e in later], kept))
+            until = later[0][0] if later else kept[-1] + window
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, until // 1000 + 1))
+        elif state.exists:
             state.remove()
-            return
-        g = pd.concat(list(batches)).sort_values(["t", "id"])
-        accepted, kept = admit(g["t"].tolist(), limit, window_seconds * 1_000_000, state.get[0] if state.exists else ())
-        state.update((kept,))
-        state.setTimeoutDuration(window_seconds * 1000)
-        yield pd.DataFrame({"key": k[0], "id": g["id"], "accepted": accepted})
+        if ready:
+            yield pd.DataFrame({"key": k[0], "id": [i for _, i in ready], "accepted": accepted})
+
+    return slim.groupBy("key").applyInPandasWithState(step, "key string, id long, accepted boolean", "held array<string>, kept array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def lifecycle_stream(events: DataFrame, key: str, at: str, seq: str, status: str, usable: str, timeout_seconds: int = 600, lateness: str = "10 seconds") -> DataFrame:
+    """(key, status, steps, reason) after each change of a job, by event time.
+
+    An event asks for a status; one that may not follow the present one changes nothing, and one that isn't ``usable`` (say, a
+    job without a reference to what it works on) makes a live job fail.  A job that is at work and hears nothing for
+    ``timeout_seconds`` fails, too: its reason is the value TIMEOUT, no exception.
+    """
+    slim = events.withWatermark(at, lateness).select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(seq).cast("long").alias("seq"), F.col(status).alias("asked"), F.col(usable).alias("ok"), F.col(at))
 
-    return slim.groupBy("key").applyInPandasWithState(step, "key string, id long, accepted boolean", "kept array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def step(k: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, steps, last = state.get[1:] if state.exists else ("pending", 0, 0)
+        _, ready, later = in_order(state, batches, ["t", "seq", "asked", "ok"])
+        out, limit = [], timeout_seconds * 1_000_000
+
+        def change(to: str, reason: str | None) -> None:
+            nonlocal now, steps
+            if to != now:
+                now, steps = to, steps + 1
+                out.append((k[0], now, steps, reason))
+
+        for t, _, asked, ok in ready:
+            if now in AT_WORK and t > last + limit:
+                change("failed", "TIMEOUT")
+            if now in AT_WORK or now == "pending" or ok:
+                change(next_status(now, asked) if ok else next_status(now, "failed"), None if ok else "unusable")
+            last = t
+        passed = state.getCurrentWatermarkMs() * 1000
+        if now in AT_WORK and passed > last + limit:
+            change("failed", "TIMEOUT")
+        state.update(([json.dumps(e) for e in later], now, steps, last))
+        if later or now in AT_WORK:
+            until = min([e[0] for e in later[:1]] + [last + limit] * (now in AT_WORK))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, until // 1000 + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["key", "status", "steps", "reason"])
+
+    return slim.groupBy("key").applyInPandasWithState(step, "key string, status string, steps int, reason string", "held array<string>, status string, steps int, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def next_status(now: str, asked: str) -> str:
@@ -75,6 +138,31 @@ def lifecycle(events: DataFrame, key: str, seq: str, status: str) -> DataFrame:
     return folded([key], "__d").select(key, F.get("m", F.lit(states.index("pending"))).alias("r")).select(key, "r.status", "r.steps")
 
 
+def claimed(pending: DataFrame, kind: str, key: str, n: int = 3) -> DataFrame:
+    """The first n jobs of each kind in order of their keys: what one cycle pulls.  Of each kind every task keeps n rows before they meet."""
+    local = pending.withColumn("__p", F.spark_partition_id())
+    few = local.withColumn("__r", F.row_number().over(Window.partitionBy(kind, "__p").orderBy(key))).where(F.col("__r") <= n).drop("__r", "__p")
+    return few.withColumn("__r", F.row_number().over(Window.partitionBy(kind).orderBy(key))).where(F.col("__r") <= n).drop("__r")
+
+
+def polled(stream: DataFrame, stages: list[Callable[[DataFrame, int], None]], checkpoint: str, seconds: int = 5):  # noqa: ANN201
+    """A started query that hands each cycle's rows to the stages in their fixed order."""
+    def cycle(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        for stage in stages:
+            stage(batch, batch_id)
+        batch.unpersist()
+
+    return stream.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
+def promoted(rows: DataFrame, index: DataFrame, key: str, stored: str, fresh: str) -> DataFrame:
+    """Rows with the state they show: pending ones have the index's, once it has one; ``changed`` are those whose stored state is to be updated."""
+    seen = rows.join(index.select(key, F.col(fresh).alias("__fresh")), key, "left")
+    state = sync_status(F.col(stored), F.col("__fresh"))
+    return seen.withColumn("shown", state).withColumn("changed", (F.col(stored) == "pending") & F.col("shown").isin("ready", "error")).drop("__fresh")
+
+
 def append_once(batch: DataFrame, batch_id: int, path: str, key: str) -> None:
     """foreachBatch sink: a batch has its own folder, so that a replay overwrites it instead of adding to it."""
     batch.dropDuplicates([key]).withColumn("seq", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")

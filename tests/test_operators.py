@@ -64,16 +64,58 @@ def test_admission_boundary():
     assert A.admit([0, 10, 20, 60, 61], limit=2, window=60)[0] == [True, True, False, False, True]
 
 
+def streamed(spark, tmp_path, batches, schema, of, name):
+    """What a query over files, one batch each, has put out."""
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).withColumn("at", F.timestamp_seconds("s")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"b={k}"))
+    source = spark.createDataFrame([], schema).withColumn("at", F.timestamp_seconds("s")).schema
+    for k in range(len(batches)):  # a file a batch, in order
+        folder = tmp_path / "in" / f"b={k}"
+        file = next(folder.glob("*.parquet"))
+        target = tmp_path / "files" / f"{k:03d}.parquet"
+        target.parent.mkdir(exist_ok=True)
+        target.write_bytes(file.read_bytes())
+        import os
+
+        os.utime(target, (1_000_000 + k * 1000,) * 2)
+    stream = spark.readStream.schema(source).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "files"))
+    q = of(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(180)
+    return {tuple(r) for r in spark.table(name).collect()}
+
+
 def test_admission_stream_equals_batch(spark, tmp_path):
-    data = [("u" + str(i % 3), i, i * 7 % 50 + i) for i in range(60)]
+    data = [("u" + str(i % 3), i, 1000 + i * 7 % 50 + i) for i in range(60)]
+    late = [x for x in data if x[1] % 5 == 0]  # within the lateness, in a later batch
+    batches = [[x for x in data if x[1] % 5 and x[1] < 30], [x for x in late if x[1] < 30] + [x for x in data if x[1] % 5 and x[1] >= 30], [x for x in late if x[1] >= 30], [("end", 900, 1500)], [("end", 901, 1900)]]
     table = spark.createDataFrame(data, "u string, id long, s long").withColumn("at", F.timestamp_seconds("s"))
-    table.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
-    q = J.admission_stream(stream, "u", "at", "id", 3, 20).writeStream.format("memory").queryName("admitted").option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start()
-    assert q.awaitTermination(120)
+    got = streamed(spark, tmp_path, batches, "u string, id long, s long", lambda x: J.admission_stream(x, "u", "at", "id", 3, 20, "100 seconds"), "admitted")
     want = {(r["u"], r["id"], r["accepted"]) for r in A.admission(table, ["u"], "at", "id", 3, 20).collect()}
-    assert {tuple(r) for r in spark.table("admitted").collect()} == want
-    assert len(want) == 60
+    assert {r for r in got if r[0] != "end"} == want and len(want) == 60
+
+
+def test_lifecycle_stream(spark, tmp_path):
+    schema = "k string, id long, s long, asked string, ok boolean"
+    batches = [
+        [("a", 1, 10, "processing", True), ("b", 1, 10, "transcoding", True), ("c", 1, 12, "transcoding", False)], [("a", 3, 40, "archived", True), ("a", 2, 30, "completed", True)],
+        [("end", 1, 300, "processing", True)], [("b", 2, 800, "completed", True), ("end", 2, 1000, "completed", True)], [("end", 3, 3000, "archived", True)],
+    ]
+    got = streamed(spark, tmp_path, batches, schema, lambda x: J.lifecycle_stream(x, "k", "at", "id", "asked", "ok", 600, "20 seconds"), "lives")
+    assert {r for r in got if r[0] != "end"} == {
+        ("a", "processing", 1, None), ("a", "completed", 2, None), ("a", "archived", 3, None), ("b", "transcoding", 1, None), ("b", "failed", 2, "TIMEOUT"), ("c", "failed", 1, "unusable"),
+    }
+
+
+def test_polled_stages_in_order(spark, tmp_path):
+    seen = []
+    spark.createDataFrame([(k, "scene" if k % 2 else "media") for k in range(20)], "k long, kind string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k long, kind string").parquet(str(tmp_path / "in"))
+    q = J.polled(stream, [lambda b, i: seen.append(("media", b.count())), lambda b, i: seen.append(("claimed", sorted(map(tuple, J.claimed(b, "kind", "k").collect()))))], str(tmp_path / "c"), 1)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert seen[0] == ("media", 20) and seen[1] == ("claimed", [(0, "media"), (1, "scene"), (2, "media"), (3, "scene"), (4, "media"), (5, "scene")])
 
 
 def test_lifecycle(spark):
