@@ -185,10 +185,9 @@ def limit_then_sort(spark: SparkSession, d: str) -> DataFrame:
     WITH top AS (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50), items AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
     SELECT o_orderkey, o_orderdate, n FROM top JOIN items ON o_orderkey = l_orderkey""")
 def limit_then_join(spark: SparkSession, d: str) -> DataFrame:
-    top = R.newest(read(spark, d, "orders"), "o_orderdate", "o_orderkey")
-    rows = read(spark, d, "lineitem").join(F.broadcast(top.select(F.col("o_orderkey").alias("l_orderkey"))), "l_orderkey", "left_semi")  # 50 keys
-    items = rows.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    return top.join(items, "o_orderkey").select("o_orderkey", "o_orderdate", "n")
+    top = R.newest(read(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey")
+    rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).join(F.broadcast(top), "o_orderkey")  # 50 rows
+    return rows.groupBy("o_orderkey", "o_orderdate").agg(F.count("*").alias("n"))
 
 
 @query("q23_assets_with_jobs", """
@@ -268,17 +267,6 @@ def back_fill(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "customer").select("c_custkey", name.alias("name"), F.coalesce(F.when(k % 2 == 0, "scene_analysis"), F.lit("custom")).alias("type"))
 
 
-@query("q34_embedding_text", "SELECT doc_id, concat_ws(' ', 'Genre: ' || lang, 'Category: ' || source, 'Summary: ' || substr(text, 1, 20), CASE WHEN doc_id % 2 = 0 THEN 'Mood: calm low' END, CASE WHEN doc_id % 3 = 0 THEN 'Setting: ' || lang END, 'Actor: Ann', 'seen') AS text_content FROM documents WHERE regexp_matches(substr(text, 1, 20), '^[A-Za-z][A-Za-z ]*[A-Za-z]$')")
-def embedding_text(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").where(F.substring("text", 1, 20).rlike("^[A-Za-z][A-Za-z ]*[A-Za-z]$"))
-    scene = F.struct(
-        F.array(F.struct(F.lit("Ann").alias("label")), F.struct(F.lit("Person 1").alias("label")), F.struct(F.lit("Ann").alias("label"))).alias("people"),
-        F.when(F.col("doc_id") % 2 == 0, F.struct(F.lit("calm").alias("tone"), F.lit("low").alias("energy"))).alias("mood"), F.when(F.col("doc_id") % 3 == 0, F.struct(F.col("lang").alias("location"))).alias("setting"),
-    )
-    raw = F.to_json(F.struct(F.col("lang").alias("genre"), F.col("source").alias("category"), F.substring("text", 1, 20).alias("chunk_summary"), F.array(scene).alias("scenes"), F.array(F.lit(" seen "), F.lit(" ")).alias("notable_observations")))
-    return docs.select("doc_id", raw.alias("raw")).withColumn("d", D.parse(F.col("raw"))).select("doc_id", D.embedding_text(F.col("d"), F.col("raw")).alias("text_content"))
-
-
 @query("q35_names_in_order", "SELECT conv_id, string_agg(role, ',' ORDER BY first) AS names FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY 1, 2) GROUP BY conv_id")
 def names_in_order(spark: SparkSession, d: str) -> DataFrame:
     first = read(spark, d, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("first"))  # bounded: one row a role
@@ -302,20 +290,6 @@ def joined_text(spark: SparkSession, d: str) -> DataFrame:
     return G.joined_text(read(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
-@query("q39_flattened", "SELECT event_id, event_type AS \"a.type\", (event_id % 10)::VARCHAR AS \"a.n\", 'x; y' AS tags FROM events")
-def flattened(spark: SparkSession, d: str) -> DataFrame:
-    nested = F.to_json(F.struct(F.struct(F.col("event_type").alias("type"), (F.col("event_id") % 10).alias("n")).alias("a"), F.array(F.lit("x"), F.lit("y")).alias("tags"), F.lit(1).alias("chunk_metadata")))
-    flat = read(spark, d, "events").select("event_id", G.flattened(nested).alias("f"))
-    return flat.select("event_id", *[F.col("f")[k].alias(k) for k in ("a.type", "a.n", "tags")])
-
-
-@query("q40_key_union", "SELECT unnest(list_sort(list_distinct(['doc_id', 'lang', 'source', 'quality']))) AS key")
-def key_union(spark: SparkSession, d: str) -> DataFrame:
-    a = read(spark, d, "documents").select(F.map_keys(F.create_map(F.lit("lang"), "lang", F.lit("source"), "source", F.lit("doc_id"), F.col("doc_id").cast("string"))).alias("k"))
-    b = read(spark, d, "labels").select(F.map_keys(F.create_map(F.lit("doc_id"), "doc_id", F.lit("quality"), F.col("quality").cast("long"))).alias("k"))
-    return a.union(b).select(F.explode("k").alias("key")).distinct().orderBy("key")
-
-
 # Current state.
 
 LOG = "SELECT user_id, event_id, CASE WHEN event_type = 'login' THEN 'delete' ELSE 'set' END AS op, value FROM events"
@@ -371,12 +345,6 @@ def daily_counts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "event_type", "n")
 
 
-@query("q48_sync_actions", "SELECT DISTINCT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'not_found' WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'skip' ELSE 'insert' END AS action FROM documents")
-def sync_actions(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").select("doc_id")
-    return R.classify_sync(docs, docs.where("doc_id % 7 <> 0"), read(spark, d, "labels"), "doc_id")
-
-
 @query("q49_guarded_delete", "SELECT doc_id FROM documents WHERE NOT (doc_id % 5 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels) AND lang <> 'de')")
 def guarded_delete(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select("doc_id", "lang")

@@ -1,5 +1,6 @@
-"""All queries outside the training-data subpackage."""
+"""All registered queries and their SQL."""
 
+from .plans import composites  # noqa: F401  registers its queries
 from .plans.catalog import ORACLES, QUERIES, search_top_k
 
 __all__ = ["ORACLES", "QUERIES", "search_top_k"]
