@@ -21,7 +21,7 @@ SEED = 42
 BLOCK = 65_536
 FANOUT = 8
 #: Candidates that one step of a search holds at once.
-FRONTIER = 2_000_000
+FRONTIER = 200_000
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
