@@ -362,13 +362,6 @@ def lifecycle(spark: SparkSession, d: str) -> DataFrame:
     return J.lifecycle(read(spark, d, "events").select("user_id", "event_id", asks.alias("ask")), "user_id", "event_id", "ask")
 
 
-@query("q51_metadata", "SELECT doc_id, lang AS genre, source AS content_type, 'calm' AS mood, 'Ann' AS actors FROM documents")
-def metadata(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.to_json(F.struct(F.col("lang").alias("genre"), F.lit("").alias("type"), F.col("source").alias("content_type"), F.array(F.struct(F.struct(F.lit("calm").alias("tone")).alias("mood"), F.array(F.struct(F.lit("Ann").alias("label")), F.struct(F.lit("Person").alias("label"))).alias("people"))).alias("scenes")))
-    m = read(spark, d, "documents").select("doc_id", D.metadata(D.parse(raw)).alias("m"))
-    return m.select("doc_id", "m.genre", "m.content_type", "m.mood", F.array_join("m.actors", ",").alias("actors"))
-
-
 @query("q52_format_bytes", """
     SELECT o_orderkey, CASE WHEN b <= 0 THEN '0 Bytes' ELSE regexp_replace(round(b / pow(1024, u), 2)::DECIMAL(20,2)::VARCHAR, '\\.?0+$', '') || ' ' || ['Bytes', 'KB', 'MB', 'GB', 'TB'][u + 1] END AS size
     FROM (SELECT *, (b >= 1024)::INT + (b >= 1048576)::INT + (b >= 1073741824)::INT AS u FROM (SELECT o_orderkey, (o_orderkey * 1048573 % 3000000)::BIGINT AS b FROM orders))""")

@@ -59,6 +59,14 @@ def embedding_text(spark: SparkSession, d: str) -> DataFrame:
     return results(spark, d).select("doc_id", D.embedding_text(F.col("analysis"), F.col("raw")).alias("text_content"))
 
 
+@query("q51_metadata", """
+    SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN nullif(text, '') END AS description, CASE WHEN doc_id % 3 = 0 THEN nullif(lang, '') END AS genre, CASE WHEN doc_id % 4 = 1 THEN ' ' || source || chr(9) END AS content_type,
+           CASE WHEN doc_id % 7 = 3 THEN CASE WHEN doc_id % 2 = 0 THEN 'calm low' ELSE 'calm' END END AS mood, CASE WHEN doc_id % 7 = 3 AND doc_id % 4 <> 0 THEN nullif(lang, '') END AS setting, CASE WHEN doc_id % 7 = 3 THEN 'Ann,Bo,Cy' END AS actors FROM documents""")
+def metadata(spark: SparkSession, d: str) -> DataFrame:
+    m = results(spark, d).select("doc_id", D.metadata(F.col("analysis")).alias("m"))
+    return m.select("doc_id", "m.description", "m.genre", "m.content_type", "m.mood", "m.setting", F.array_join("m.actors", ",").alias("actors"))
+
+
 STATE = "CASE doc_id % 5 WHEN 1 THEN '' WHEN 2 THEN 'pending' WHEN 3 THEN 'ready' WHEN 4 THEN 'error' END"
 ELIGIBLE = """coalesce(status, '') NOT IN ('archived', 'failed') AND CASE WHEN own IS NOT NULL THEN own IN ('scene_analysis', 'custom') ELSE coalesce(status = 'completed' AND job_type IN ('scene_analysis', 'custom'), false) END"""
 
