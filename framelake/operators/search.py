@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +17,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    return F.round(1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), 6)
-
-
 def vector_search(index: DataFrame, query: list[float], k: int = LIMIT, where: Column | None = None, below: float = THRESHOLD, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """The ``k`` nearest rows to a query vector, nearest first, then those below the threshold.
 
@@ -26,7 +24,8 @@ def vector_search(index: DataFrame, query: list[float], k: int = LIMIT, where: C
     (TakeOrderedAndProject); nothing is shuffled but k rows a task.  ``where`` is applied before.
     """
     rows = index if where is None else index.where(where)
-    near = rows.withColumn("distance", cosine_distance(F.col(vector), F.array(*[F.lit(float(x)) for x in query])))
+    q, length = F.array(*[F.lit(float(x)) for x in query]), math.sqrt(sum(float(x) ** 2 for x in query))
+    near = rows.withColumn("distance", F.round(1 - dot(F.col(vector), q) / (F.sqrt(dot(F.col(vector), F.col(vector))) * F.lit(length)), 6))
     return near.drop(vector).orderBy("distance", key).limit(k).where(F.col("distance") < below)
 
 

@@ -30,7 +30,7 @@ def in_order(state: GroupState, batches: Iterator[pd.DataFrame], columns: list[s
     """(what else the state holds, events up to the watermark in order, later ones).  Events are held until the watermark has passed them."""
     held, *rest = state.get if state.exists else (None,)
     events = [tuple(json.loads(x)) for x in held or []] + [tuple(r) for b in batches for r in b[columns].astype(object).where(b[columns].notna(), None).itertuples(index=False, name=None)]
-    events.sort(key=lambda e: (e[0], str(e[1:])) if not isinstance(e[1], int) else (e[0], f"{e[1]:020d}"))
+    events.sort(key=lambda e: (e[0], -1 if e[1] is None else e[1], str(e[2:])))
     now = state.getCurrentWatermarkMs() * 1000
     return tuple(rest), [e for e in events if e[0] <= now], [e for e in events if e[0] > now]
 
