@@ -127,16 +127,16 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 out += [(i, h, a, len(p := ids[a : a + size]), crc(p), len(ids)) for a in range(0, len(ids), size)]
             yield pd.DataFrame(out, columns=["id", "h", "start", "length", "ids_crc32", "doc_tokens"])
 
-    pieces = materialise(readable(rows, fast).mapInPandas(cut, schema), "pieces")
+    pieces = materialise(readable(rows, fast).mapInPandas(cut, schema).withColumn("tie", F.monotonically_increasing_id()), "pieces")
     histogram = {int(r["length"]): int(r["count"]) for r in pieces.groupBy("length").count().collect()}  # at most ``size`` rows
     plan, sequences = slots(pack_histogram(histogram, size))
     plan_on_workers = spark.sparkContext.broadcast(plan)  # bounded by the patterns of ``size`` lengths
 
     buckets = max(16, -(-sum(histogram.values()) // BUCKET_ROWS))
-    spread = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "start", "h"), F.lit(buckets)).cast("int"))
+    spread = pieces.withColumn("bucket", F.pmod(F.xxhash64("tie"), F.lit(buckets)).cast("int"))  # by row, so that repeated rows spread
     counts = spread.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    local = spread.withColumn("r", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "start", "h")))
+    local = spread.withColumn("r", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("tie")))
     ranked = local.join(before, ["length", "bucket"]).withColumn("rank", F.col("r") - 1 + F.coalesce("before", F.lit(0)))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
