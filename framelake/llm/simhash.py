@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import exact_dedup
-from .common import discard, materialise, table, text_or_empty
+from .common import discard, materialise, small_batches, table, text_or_empty
 
 SHINGLE = 3
 DISTANCE = 2
@@ -227,7 +227,7 @@ SIMILARITY = 0.8
 CLASSES, CLASS_PARTS = 1 << 20, 64
 #: Groups that are dealt over several tasks at most, and over how many.
 HOT_GROUPS, SALTS = 10_000, 32
-#: Texts that a Python worker holds with their shingles at once.
+#: Texts that a Python worker holds with their shingles at once, and pairs with both sets.
 SLICE = 500
 #: 64-bit words of a set's parity bitmap.
 PARITY_WORDS = 8
@@ -312,7 +312,7 @@ def near_links(docs: DataFrame, text_col: str, distance: int = DISTANCE, similar
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        for b in (b.iloc[k : k + SLICE] for b in batches for k in range(0, len(b), SLICE)):
+        for b in batches:
             out = []
             for rid, i, t in zip(b["rid"], b["id"], b["text"], strict=True):
                 words = t.encode().lower().split()
@@ -328,7 +328,7 @@ def near_links(docs: DataFrame, text_col: str, distance: int = DISTANCE, similar
     counts = docs.sparkSession.sparkContext.broadcast(class_counts(sets))
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in (b.iloc[k : k + SLICE] for b in batches for k in range(0, len(b), SLICE)):
+        for b in batches:
             keys, sizes = [], []
             for s in b["s"]:
                 h = np.frombuffer(s, "<u8")
@@ -385,7 +385,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text stay or go together.  An empty table stays empty.
     """
     rows = docs.withColumn("__id", F.col(f"`{id_col}`")).withColumn("__rid", F.xxhash64(F.coalesce(F.col("__id").cast("string"), F.lit("")), text_or_empty(text_col)))
-    nodes, near = near_links(rows, text_col, distance, similarity)
+    with small_batches(docs.sparkSession, SLICE):
+        nodes, near = near_links(rows, text_col, distance, similarity)
     roots = components(near)
     placed = materialise(nodes.join(roots, F.col("sid") == F.col("node"), "left").select("rid", "id", F.coalesce("root", "sid").alias("root")), "placed")
     least = materialise(placed.groupBy("root").agg(F.min(F.struct("id", "rid")).alias("stays"), F.count("*").alias("n")).where("n > 1").select("root", "stays"), "stays")
