@@ -190,6 +190,11 @@ def is_media(content_type: Column) -> Column:
     return F.coalesce(content_type.startswith("video/") | content_type.startswith("audio/"), F.lit(False))
 
 
+def uploadable(content_type: Column, size: Column, most: int) -> Column:
+    """Whether a file may be taken: video, audio or an image, and of a known size of at most ``most`` bytes."""
+    return (is_media(content_type) | F.coalesce(content_type.startswith("image/"), F.lit(False))) & F.coalesce(size.between(0, most), F.lit(False))
+
+
 def object_path(uri: Column, scheme: str = "gs") -> tuple[Column, Column]:
     """(bucket, name) of ``scheme://bucket/name``; both null if it isn't one."""
     pattern = rf"^{scheme}://([^/]*)/(.*)$"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,6 +100,22 @@ def cascade(tables: dict[str, DataFrame], gone: DataFrame, key: str) -> dict[str
     return {name: t.join(gone, key, "left_anti") for name, t in tables.items()}
 
 
+def analysis_deleted(manifests: DataFrame, chunks: DataFrame, tables: dict[str, DataFrame], gone: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(paths of objects to delete, rows deleted per table) when the analyses of some assets go; the assets themselves stay.
+
+    A manifest names a compressed copy and audio, where it has them; chunks have a path each.
+    """
+    own = manifests.join(gone, key, "left_semi").select(F.explode(F.array("compressed_path", "audio_path")).alias("path"))
+    blobs = own.unionByName(chunks.join(gone, key, "left_semi").select("path")).where("path is not null")
+    counts = [t.join(gone, key, "left_semi").agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, t in tables.items()]
+    return blobs, reduce(DataFrame.unionByName, counts)
+
+
+def moved_to(rows: DataFrame, asked: Column, status: str, only: str, to: str) -> DataFrame:
+    """Rows that are asked for get a new status, if they have the one that it may follow."""
+    return rows.withColumn(status, F.when(asked & (F.col(status) == only), to).otherwise(F.col(status)))
+
+
 def guarded_delete(rows: DataFrame, asked: DataFrame, users: DataFrame, key: str, busy: Column | None = None) -> DataFrame:
     """Rows that remain: those asked for go unless something refers to them or they are busy."""
     goes = asked.join(users, key, "left_anti")

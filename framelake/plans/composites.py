@@ -337,3 +337,44 @@ def client_limits(spark: SparkSession, d: str) -> DataFrame:
     ip = S.client_ip(F.when(k == 0, F.concat(F.lit(" u"), u, F.lit(" , proxy"))), F.when(k == 1, F.concat(F.lit("h"), (F.col("user_id") % 5).cast("string"))))
     rows = read(spark, d, "events").select("event_id", "ts", ip.alias("ip"))
     return rows.select("event_id", "ip", F.expr("count(*) over (partition by ip order by ts range between interval 10 minutes preceding and current row)").alias("seen"))
+
+
+@query("q77_deleted_analysis", """
+    WITH gone AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 10 = 0)
+    SELECT 'blob' AS what, 'c/' || k || '.mp4' AS item, NULL::BIGINT AS n FROM gone WHERE k % 20 = 0 UNION ALL SELECT 'blob', 'o/' || o_orderkey, NULL FROM orders JOIN gone ON k = o_custkey
+    UNION ALL SELECT 'jobs', NULL, count(*) FROM orders JOIN gone ON k = o_custkey UNION ALL SELECT 'results', NULL, count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN gone ON k = o_custkey
+    UNION ALL SELECT 'assets', NULL, count(*) FROM customer""")
+def deleted_analysis(spark: SparkSession, d: str) -> DataFrame:
+    assets = read(spark, d, "customer").select(F.col("c_custkey").alias("asset"))
+    jobs = read(spark, d, "orders").select(F.col("o_custkey").alias("asset"), "o_orderkey")
+    found = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).join(jobs, "o_orderkey")
+    chunks = jobs.select("asset", F.concat(F.lit("o/"), F.col("o_orderkey").cast("string")).alias("path"))
+    manifests = assets.select("asset", F.when(F.col("asset") % 20 == 0, F.concat(F.lit("c/"), F.col("asset").cast("string"), F.lit(".mp4"))).alias("compressed_path"), F.lit(None).cast("string").alias("audio_path"))
+    blobs, deleted = R.analysis_deleted(manifests, chunks, {"jobs": jobs, "results": found}, assets.where("asset % 10 = 0"), "asset")
+    kept = assets.agg(F.count("*").alias("n")).select(F.lit("assets").alias("what"), F.lit(None).cast("string").alias("item"), "n")
+    return blobs.select(F.lit("blob").alias("what"), F.col("path").alias("item"), F.lit(None).cast("long").alias("n")).unionByName(deleted.select("what", F.lit(None).cast("string").alias("item"), "n")).unionByName(kept)
+
+
+@query("q78_archived", """
+    SELECT o_orderkey, CASE WHEN s = 'completed' AND o_orderkey % 2 = 0 THEN 'archived' ELSE s END AS status, 'adapts/' || o_orderkey || '/9_16.jpg' AS path, o_totalprice <= 200000 AND o_orderkey % 3 <> 2 AS accepted
+    FROM (SELECT *, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'failed' END AS s FROM orders)""")
+def archived(spark: SparkSession, d: str) -> DataFrame:
+    k, status = F.col("o_orderkey"), F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "pending").otherwise("failed")
+    kind = F.when(k % 3 == 0, "video/mp4").when(k % 3 == 1, "image/png").otherwise("text/plain")
+    rows = read(spark, d, "orders").select(k, status.alias("status"), F.concat(F.lit("adapts/"), k.cast("string"), F.lit("/"), S.aspect_name(F.lit("9:16")), F.lit(".jpg")).alias("path"), S.uploadable(kind, F.col("o_totalprice"), 200_000).alias("accepted"))
+    return R.moved_to(rows, k % 2 == 0, "status", "completed", "archived")
+
+
+@query("q79_index_totals", "SELECT count(*) FILTER (vec_id % 4 = 1) AS error, count(*) FILTER (vec_id % 4 <> 1 AND vec_id % 3 = 0) AS pending, count(*) FILTER (vec_id % 4 <> 1 AND vec_id % 3 <> 0) AS ready FROM embeddings")
+def index_totals(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("vec_id")
+    status = S.embedding_status(F.when(v % 3 != 0, F.size("embedding")), F.when(v % 4 == 1, "quota").when(v % 4 == 2, ""))
+    return read(spark, d, "embeddings").agg(*[F.count_if(status == s).alias(s) for s in ("error", "pending", "ready")])
+
+
+@query("q80_valid_requests", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 10) AND EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_acctbal > 0)")
+def valid_requests(spark: SparkSession, d: str) -> DataFrame:
+    assets = read(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("l_partkey"))
+    prompts = read(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    asked = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return asked.join(prompts, "l_suppkey", "left_semi").join(assets, "l_partkey", "left_semi").select("l_orderkey", "l_linenumber", "l_partkey")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import mime_of
+
 
 def object_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Path, size and time of objects; their bytes aren't read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("updated"))
+    """Path, size, time and content type (by extension) of objects; their bytes aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("updated"), mime_of(F.col("path")).alias("content_type"))
 
 
 def object_contents(spark: SparkSession, path: str) -> DataFrame:
