@@ -26,15 +26,20 @@ def admission(requests: DataFrame, keys: list[str], at: str, order: str, limit:
     """(keys, order, accepted) per request.
 
     A request more than a window after the one before it finds no accepted ones, so there a key's requests
-    are cut into runs; runs are dealt out, and sorted ones stream through a task that only keeps the
+    are cut into runs.  Where a run never has more than ``limit`` requests within a window, all are let in.  Only other runs are
+    dealt out, and sorted ones stream through a task that only keeps the
     accepted times in the window.  Sorts and windows spill, so no key has to fit in memory.
+    A request without a time has no place in any window and isn't let in.
     """
     window = window_seconds * 1_000_000
     slim = requests.select(*keys, order, F.unix_micros(F.col(at).cast("timestamp")).alias("__t"))
+    names = [n for n, _ in slim.dtypes if n != "__t"]
     schema = ", ".join(f"`{n}` {t}" for n, t in slim.dtypes if n != "__t") + ", accepted boolean"
-    by = Window.partitionBy(*keys).orderBy(F.col("__t").asc_nulls_last(), order)
-    slim = slim.withColumn("__starts", (F.row_number().over(by) == 1) | F.coalesce(F.col("__t") - F.lag("__t").over(by) > window, F.lit(False)))
-    slim = slim.withColumn("__run", F.sum(F.col("__starts").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    by = Window.partitionBy(*keys).orderBy("__t", order)
+    timed = slim.where(F.col("__t").isNotNull()).withColumn("__starts", (F.row_number().over(by) == 1) | F.coalesce(F.col("__t") - F.lag("__t").over(by) > window, F.lit(False)))
+    timed = timed.withColumn("__run", F.sum(F.col("__starts").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    timed = timed.withColumn("__n", F.count("*").over(Window.partitionBy(*keys).orderBy("__t").rangeBetween(-window, 0)))
+    timed = timed.withColumn("__most", F.max("__n").over(Window.partitionBy(*keys, "__run"))).drop("__n")
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[int] = []
@@ -43,7 +48,8 @@ def admission(requests: DataFrame, keys: list[str], at: str, order: str, limit:
             for a, e in zip(cuts, cuts[1:], strict=False):
                 got, kept = admit(times[a:e], limit, window, () if a < e and b["__starts"].iloc[a] else kept)
                 accepted += got
-            yield b.drop(columns=["__t", "__starts", "__run"]).assign(accepted=accepted)
+            yield b[names].assign(accepted=accepted)
 
-    dealt = slim.repartition(*keys, "__run").sortWithinPartitions(*keys, "__run", F.col("__t").asc_nulls_last(), F.col("__starts").desc(), order)
-    return dealt.mapInPandas(step, schema)
+    busy = timed.where(F.col("__most") > limit).repartition(*keys, "__run").sortWithinPartitions(*keys, "__run", "__t", F.col("__starts").desc(), order)
+    calm = timed.where(F.col("__most") <= limit).select(*names, F.lit(True).alias("accepted"))
+    return busy.mapInPandas(step, schema).unionByName(calm).unionByName(slim.where(F.col("__t").isNull()).select(*names, F.lit(False).alias("accepted")))

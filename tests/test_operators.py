@@ -179,6 +179,12 @@ def test_admission_of_one_crowded_user_streams(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
 
 
+def test_admission_without_a_time(spark):
+    rows = spark.createDataFrame([("a", 1, None), ("a", 2, 10), ("a", 3, None), ("a", 4, 11), ("a", 5, 12)], "u string, id long, s long").withColumn("at", F.timestamp_seconds("s"))
+    assert {r["id"]: r["accepted"] for r in A.admission(rows, ["u"], "at", "id", 2, 60).collect()} == {1: False, 2: True, 3: False, 4: True, 5: False}
+    assert A.admission(rows.limit(0), ["u"], "at", "id", 2, 60).count() == 0
+
+
 def test_lifecycle_by_chunks(spark, monkeypatch):
     monkeypatch.setattr(J, "CHUNK", 3)
     states = list(J.TRANSITIONS)
