@@ -307,7 +307,7 @@ def near_links(docs: DataFrame, text_col: str, distance: int = DISTANCE, similar
     First, each text is compared with one leader, that of most of its groups (one shingle in the prefix, or fingerprints that the
     hierarchical index links), where a group's leader is its text with the largest groups; this mostly makes one component of a cluster of copies.  Then
     every pair that shares such a shingle and isn't yet in one component is compared, whatever the
-    group's size.  Only proven bounds sort out pairs: sizes, places in the order, parity bitmaps.
+    group's size.  Only proven bounds sort out pairs: sizes, shingles shared within the prefixes, parity bitmaps.
     """
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -350,14 +350,17 @@ def near_links(docs: DataFrame, text_col: str, distance: int = DISTANCE, similar
     leads = ranked.groupBy("g").agg(F.max(F.struct("degree", "sid"))["sid"].alias("lead"), F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("n"))
     leads = materialise(leads.where("low < high").select("g", "lead", "n"), "leads")
     led = meet(ranked.select("g", "sid"), leads).where("sid != lead").groupBy("sid", "lead").agg(F.count("*").alias("n"))
-    best = materialise(led.groupBy("sid").agg(F.max(F.struct("n", "lead"))["lead"].alias("b")).select(F.col("sid").alias("a"), "b"), "best")
+    best = led.groupBy("sid").agg(F.max(F.struct("n", "lead")).alias("x")).select(F.col("sid").alias("a"), F.col("x.lead").alias("b"), F.col("x.n").alias("c"))
+    best = materialise(best, "best")
     discard(shared, degrees, ranked, leads)
     part = similarity / (1 + similarity)
     bound = f"(n + m) * {1 - 2 * part} + 1e-6"  # most elements that alike sets of n and m differ in
     unlike = " + ".join(f"bit_count(bits[{k}] ^ others[{k}])" for k in range(PARITY_WORDS))
+    # At most c shingles in common within both prefixes, and those beyond the one that ends first.
+    within = f"c + greatest(n, m) - floor(greatest(n, m) * {1 - similarity} + 1e-6) - 1 >= (n + m) * {part} - 1e-6 and least(n, m) >= greatest(n, m) * {similarity} - 1e-6"
     other = slim.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("others"))
     stars = best.join(slim.select(F.col("sid").alias("a"), "n", "bits"), "a").join(other, "b")
-    stars = materialise(stars.where(f"{unlike} <= {bound}").select("a", "b"), "stars")
+    stars = materialise(stars.where(f"{within} and {unlike} <= {bound}").select("a", "b"), "stars")  # what c counts too low is left to the next step
     first = alike(stars, sets, similarity)
 
     comps = components(first)
@@ -368,9 +371,10 @@ def near_links(docs: DataFrame, text_col: str, distance: int = DISTANCE, similar
     discard(best, stars, members)
     left = materialise(meet(placed, apart).drop("n").join(slim.select("sid", "n", "bits"), "sid"), "left")
     right = left.select("g", F.col("sid").alias("other"), F.col("at").alias("place"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("bits").alias("others"))
-    meets = f"sid < other and c != d and least(n - at, m - place) >= (n + m) * {part} - 1e-6"  # at the first shingle in common, at most those after it are common
+    meets = f"sid < other and c != d and {unlike} <= {bound}"
     discard(placed, apart)
-    rest = materialise(left.join(right, "g").where(f"{meets} and {unlike} <= {bound}").select(F.col("sid").alias("a"), F.col("other").alias("b")).distinct(), "rest")
+    met = left.join(right, "g").where(meets).groupBy(F.col("sid").alias("a"), F.col("other").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+    rest = materialise(met.where(within).select("a", "b"), "rest")
     second = alike(rest, sets, similarity)
     discard(left, rest, slim)
     narrow = materialise(nodes.select("rid", "id", "sid"), "near-ids")
