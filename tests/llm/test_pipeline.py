@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-import corpus_pipeline as P
+from framelake.llm import pipeline as P
 from framelake.llm import quality
 from framelake.llm.common import materialise, table
 
