@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, exact_dedup, merkle, packing, pii, pipeline, quality, simhash, token_counts, url_filter, warc
+from . import bpe_codec, exact_dedup, hard_negatives, merkle, packing, periodic, pii, pipeline, projections, quality, simhash, token_counts, url_filter, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_merkle": merkle.op9_merkle,
     "op10_bpe": bpe_codec.op10_bpe,
+    "op11_near_vectors": projections.op11_near_vectors,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_runs": periodic.op13_runs,
     "pipeline": pipeline.run,
 }
-ORACLES = {**exact_dedup.ORACLE, **warc.ORACLE}
+ORACLES = {**exact_dedup.ORACLE, **warc.ORACLE, **projections.ORACLE, **hard_negatives.ORACLE}
