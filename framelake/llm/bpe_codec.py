@@ -126,15 +126,14 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     parts that are spread over the cluster, encoded, joined PARTS_JOINED at a time by many tasks, and then to one.
     Null texts count as empty (no ids); null ids and repeated rows keep their rows; an empty table gives none; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(f"`{text_col}`").alias("text"))
     is_long = F.char_length("text") > PART_CHARS
-    id_type = rows.schema["id"].dataType.simpleString()
 
-    def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("ids binary, joins bigint")
+    def short(texts: pd.Series) -> pd.DataFrame:  # a row's own id stays out of pandas, which has no whole numbers beside nulls
         codec = bpe.codec(tokenizer_path)
-        for b in batches:
-            got = [encode_text(t, codec) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "ids": [packed(x) for x, _ in got], "joins": [n for _, n in got]})
+        got = [encode_text(t, codec) for t in texts]
+        return pd.DataFrame({"ids": [packed(x) for x, _ in got], "joins": [n for _, n in got]})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = bpe.codec(tokenizer_path)
@@ -165,12 +164,12 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
         done = join(group)
         return pd.DataFrame({"key": [done["key"].iloc[0]], "ids": [b"".join(done["ids"])], "joins": [done["joins"].sum()]})
 
-    done = rows.where(~is_long).mapInPandas(short, f"id {id_type}, ids binary, joins bigint")
+    done = rows.where(~is_long).select("id", short("text").alias("x")).select("id", "x.*")
     long = materialise(rows.where(is_long).withColumn("key", F.monotonically_increasing_id()), "long-texts")
     parts = long.select("key", "text").mapInPandas(cut, PART_SCHEMA).repartition("key", "run", "seq").mapInPandas(encode, PART_SCHEMA)
     joined = parts.groupBy("key", "run", F.floor(F.col("seq") / PARTS_JOINED)).applyInPandas(join, PART_SCHEMA)
     joined = joined.groupBy("key").applyInPandas(whole, "key bigint, ids binary, joins bigint")
-    return done.unionByName(long.select("key", "id").join(joined, "key").select("id", "ids", "joins")).withColumnRenamed("id", id_col)
+    return done.unionByName(long.select("key", "id").join(joined, "key").select("id", "ids", "joins")).select(F.col("id").alias(id_col), "ids", "joins")
 
 
 def decode_documents(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id") -> DataFrame:
@@ -178,15 +177,12 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc
 
     Null ids give the empty text; repeated rows keep their rows; an empty table gives none; a column ``text`` is replaced.
     """
-    names = [c for c in encoded.columns if c != "text"]
-    schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in names) + ", text string"
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def decode(ids: pd.Series) -> pd.Series:
         codec = bpe.codec(tokenizer_path)
-        for b in batches:
-            yield b.assign(text=[codec.decode(np.frombuffer(x or b"", "<u4")).decode() for x in b["ids"]])
+        return pd.Series([codec.decode(np.frombuffer(x or b"", "<u4")).decode() for x in ids], dtype="object")
 
-    return encoded.select(*[f"`{c}`" for c in names]).mapInPandas(decode, schema)
+    return encoded.select(*[F.col(f"`{c}`") for c in encoded.columns if c != "text"], decode("ids").alias("text"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ SEQUENCE = 2048
 END = 1  # the id after each document
 #: Pieces of one length that one task ranks, about.
 BUCKET_ROWS = 20_000
-PIECE_SCHEMA = "id {id}, h bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+PIECE_SCHEMA = "id string, h bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
 def pack_histogram(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
@@ -110,13 +110,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     Packs filled below ``recut_below`` are cut at powers of two, which need no padding; only their few
     documents are encoded again, for the new pieces' checksums.
     Null texts count as empty (the end id alone); null ids and repeated rows are packed like any other;
-    an empty table gives no rows; other columns are ignored.
+    an empty table gives no rows; other columns are ignored.  An id column named as one of the result's columns comes out as ``id``.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    id_type = rows.schema["id"].dataType.simpleString()
+    id_type = docs.schema[id_col].dataType
+    # Ids travel as text: pandas has no whole numbers beside nulls.
+    rows = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), text_or_empty(f"`{text_col}`").alias("text")).withColumn("h", F.xxhash64("text"))
     fast = bpe.codec(tokenizer_path).kind == "words"
-    schema = PIECE_SCHEMA.format(id=id_type)
+    schema = PIECE_SCHEMA
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = bpe.codec(tokenizer_path)
@@ -179,10 +180,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 out += [(i, h, r["start"], r["length"], crc(ids[r["start"] : r["start"] + r["length"]])) for r in ranges]
             yield pd.DataFrame(out, columns=["id", "h", "start", "length", "ids_crc32"])
 
-    sums = again.mapInPandas(checksums, f"id {id_type}, h bigint, start bigint, length bigint, ids_crc32 bigint")
+    sums = again.mapInPandas(checksums, "id string, h bigint, start bigint, length bigint, ids_crc32 bigint")
     same = F.col("c.id").eqNullSafe(F.col("s.id")) & (F.col("c.h") == F.col("s.h")) & (F.col("c.start") == F.col("s.start")) & (F.col("c.length") == F.col("s.length"))
     recut = cut_rows.alias("c").join(sums.alias("s"), same).select("c.id", "c.start", "c.length", "s.ids_crc32", "c.doc_tokens", "c.sequence_id", "c.offset")
-    return whole.unionByName(recut).withColumnRenamed("id", id_col)
+    out = whole.unionByName(recut)
+    return out.select(F.col("id").cast(id_type).alias("id" if id_col in out.columns else id_col), *[c for c in out.columns if c != "id"])
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

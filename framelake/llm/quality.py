@@ -195,14 +195,12 @@ def score_documents(docs: DataFrame, weights: dict[str, np.ndarray], id_col: str
 
     Only the text is an input; null counts as empty; null ids aren't held out; repeated rows keep their rows; an empty table gives none; no shuffle.
     """
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"))
-
-    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[["id", "held_out"]].assign(score=[score(weights, t) for t in b["text"]])
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:  # ids stay out of pandas, which has no whole numbers beside nulls
+        return texts.map(lambda t: score(weights, t))
 
-    out = rows.mapInPandas(scores, f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, score double")
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).withColumnRenamed("id", id_col)
+    out = docs.select(F.col(f"`{id_col}`").alias(id_col), held_out(F.col(f"`{id_col}`")).alias("held_out"), of(text_or_empty(f"`{text_col}`")).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, weights: dict[str, np.ndarray], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

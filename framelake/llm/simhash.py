@@ -52,13 +52,11 @@ def signed(x: int) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, fp bigint) per row; A-Z lower-cased, words between ASCII white space, nulls as empty."""
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    @F.pandas_udf("bigint")
+    def of(texts: pd.Series) -> pd.Series:  # ids stay out of pandas, which has no whole numbers beside nulls
+        return pd.Series([signed(fingerprint(t.encode().lower().split(), shingle)) for t in texts], dtype="int64")
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "fp": [signed(fingerprint(t.encode().lower().split(), shingle)) for t in b["text"]]})
-
-    return rows.mapInPandas(of, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), of(text_or_empty(f"`{text_col}`")).alias("fp"))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -299,8 +297,8 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return out
 
 
-def near_links(docs: DataFrame, text_col: str, distance: int = DISTANCE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(nodes: rid, id, sid; links: a, b over sid) that connect exactly what pairs of sets of five-word shingles alike to ``similarity`` or more connect.
+def near_links(rows: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(nodes: rid, id, sid; links: a, b over sid) of rows (rid, id, text) that connect exactly what pairs of sets of five-word shingles alike to ``similarity`` or more connect.
 
     Texts with equal sets are one node, sid.  Two alike sets share one of the first ``prefix_size``
     shingles of each in any order that all texts use; the order is by frequency, so these are the rarest.
@@ -309,23 +307,22 @@ def near_links(docs: DataFrame, text_col: str, distance: int = DISTANCE, similar
     every pair that shares such a shingle and isn't yet in one component is compared, whatever the
     group's size.  Only proven bounds sort out pairs: sizes, shingles shared within the prefixes, parity bitmaps.
     """
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("sid bigint, fp bigint, n int, bits array<bigint>, s binary")
+    def of(texts: pd.Series) -> pd.DataFrame:
         import xxhash
 
-        for b in batches:
-            out = []
-            for rid, i, t in zip(b["rid"], b["id"], b["text"], strict=True):
-                words = t.encode().lower().split()
-                h = np.unique(shingle_hashes(words, NEAR_WORDS))
-                s = h.tobytes()
-                out.append((rid, i, signed(xxhash.xxh64_intdigest(s)), signed(fingerprint(words)), len(h), parity(h), s))
-            yield pd.DataFrame(out, columns=["rid", "id", "sid", "fp", "n", "bits", "s"])
-
-    keyed = docs.select(F.col("__rid").alias("rid"), F.col("__id").alias("id"), text_or_empty(text_col).alias("text"))
-    nodes = materialise(keyed.mapInPandas(of, f"rid bigint, id {keyed.schema['id'].dataType.simpleString()}, sid bigint, fp bigint, n int, bits array<bigint>, s binary"), "near-nodes")
+        out = []
+        for t in texts:
+            words = t.encode().lower().split()
+            h = np.unique(shingle_hashes(words, NEAR_WORDS))
+            s = h.tobytes()
+            out.append((signed(xxhash.xxh64_intdigest(s)), signed(fingerprint(words)), len(h), parity(h), s))
+        return pd.DataFrame(out, columns=["sid", "fp", "n", "bits", "s"])
+
+    nodes = materialise(rows.select("rid", "id", of("text").alias("x")).select("rid", "id", "x.*"), "near-nodes")
     sets = nodes.select("sid", "s")
     slim = materialise(nodes.groupBy("sid").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits")), "near-sets")
-    counts = docs.sparkSession.sparkContext.broadcast(class_counts(sets))
+    counts = rows.sparkSession.sparkContext.broadcast(class_counts(sets))
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -388,14 +385,17 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Blank texts are alike; nulls count as blank and null ids as smallest.  Repeated rows of one id and
     text stay or go together.  An empty table stays empty.
     """
-    rows = docs.withColumn("__id", F.col(f"`{id_col}`")).withColumn("__rid", F.xxhash64(F.coalesce(F.col("__id").cast("string"), F.lit("")), text_or_empty(text_col)))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # so that no column's name can clash
+    i, text = F.col(f"`{id_col}`"), text_or_empty(f"`{text_col}`")
+    key = F.unhex(F.substring(F.sha2(F.concat(F.coalesce(i.cast("string"), F.lit("")), F.lit("\n"), text), 256), 1, 32))  # 128 bits
+    rows = docs.select(whole, i.alias("id"), key.alias("rid"))
     with small_batches(docs.sparkSession, SLICE):
-        nodes, near = near_links(rows, text_col, distance, similarity)
+        nodes, near = near_links(docs.select(key.alias("rid"), i.alias("id"), text.alias("text")), distance, similarity)
     roots = components(near)
     placed = materialise(nodes.join(roots, F.col("sid") == F.col("node"), "left").select("rid", "id", F.coalesce("root", "sid").alias("root")), "placed")
     least = materialise(placed.groupBy("root").agg(F.min(F.struct("id", "rid")).alias("stays"), F.count("*").alias("n")).where("n > 1").select("root", "stays"), "stays")
-    gone = materialise(placed.join(least, "root").where(F.col("rid") != F.col("stays.rid")).select(F.col("rid").alias("__rid")).distinct(), "gone")
-    return rows.join(gone, "__rid", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    gone = materialise(placed.join(least, "root").where(F.col("rid") != F.col("stays.rid")).select("rid").distinct(), "gone")
+    return rows.join(gone, "rid", "left_anti").select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
