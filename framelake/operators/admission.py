@@ -6,9 +6,11 @@ from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scans
+
 
 def admit(times: Iterable[int], limit: int, window: int, accepted: Iterable[int] = ()) -> tuple[list[bool], list[int]]:
     """(let in or not, accepted times still in the window).  Only accepted requests count; one exactly a window old still does."""
@@ -22,24 +24,25 @@ def admit(times: Iterable[int], limit: int, window: int, accepted: Iterable[int]
     return out, list(kept)
 
 
-def admission(requests: DataFrame, keys: list[str], at: str, order: str, limit: int, window_seconds: int) -> DataFrame:
+def admission(requests: DataFrame, keys: list[str], at: str, order: str, limit: int, window_seconds: int, hot_rows: int | None = None) -> DataFrame:
     """(keys, order, accepted) per request.
 
     A request more than a window after the one before it finds no accepted ones, so there a key's requests
     are cut into runs.  Where a run never has more than ``limit`` requests within a window, all are let in.  Only other runs are
     dealt out, and sorted ones stream through a task that only keeps the
-    accepted times in the window.  Sorts and windows spill, so no key has to fit in memory.
+    accepted times in the window.  What leads there are scans, which deal a hot key over tasks; in a run that is over its limit, each answer
+    depends on those before it, so such a run is one task's.
     A request without a time has no place in any window and isn't let in.
     """
     window = window_seconds * 1_000_000
     slim = requests.select(*keys, order, F.unix_micros(F.col(at).cast("timestamp")).alias("__t"))
     names = [n for n, _ in slim.dtypes if n != "__t"]
     schema = ", ".join(f"`{n}` {t}" for n, t in slim.dtypes if n != "__t") + ", accepted boolean"
-    by = Window.partitionBy(*keys).orderBy("__t", order)
-    timed = slim.where(F.col("__t").isNotNull()).withColumn("__starts", (F.row_number().over(by) == 1) | F.coalesce(F.col("__t") - F.lag("__t").over(by) > window, F.lit(False)))
-    timed = timed.withColumn("__run", F.sum(F.col("__starts").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    timed = timed.withColumn("__n", F.count("*").over(Window.partitionBy(*keys).orderBy("__t").rangeBetween(-window, 0)))
-    timed = timed.withColumn("__most", F.max("__n").over(Window.partitionBy(*keys, "__run"))).drop("__n")
+    timed = scans.trailing(slim.where(F.col("__t").isNotNull()), keys, "__t", window, "__n", order=[order], hot_rows=hot_rows).withColumn("__starts", F.col("__n") == 1)
+    timed = scans.running(timed, keys, ["__t", F.col("__starts").desc(), order], F.col("__starts").cast("long"), "__run", hot_rows)
+    most = timed.groupBy(*keys, "__run").agg((F.max("__n") > limit).alias("__busy"))
+    named = [F.col(f"r.`{c}`") for c in [*names, "__t", "__starts", "__run"]]
+    timed = timed.alias("r").join(most.alias("b"), scans.same("r", "b", [*keys, "__run"])).select(*named, "b.__busy")
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[int] = []
@@ -50,6 +53,6 @@ def admission(requests: DataFrame, keys: list[str], at: str, order: str, limit:
                 accepted += got
             yield b[names].assign(accepted=accepted)
 
-    busy = timed.where(F.col("__most") > limit).repartition(*keys, "__run").sortWithinPartitions(*keys, "__run", "__t", F.col("__starts").desc(), order)
-    calm = timed.where(F.col("__most") <= limit).select(*names, F.lit(True).alias("accepted"))
+    busy = timed.where("__busy").repartition(*keys, "__run").sortWithinPartitions(*keys, "__run", "__t", F.col("__starts").desc(), order)
+    calm = timed.where("not __busy").select(*names, F.lit(True).alias("accepted"))
     return busy.mapInPandas(step, schema).unionByName(calm).unionByName(slim.where(F.col("__t").isNull()).select(*names, F.lit(False).alias("accepted")))

@@ -10,11 +10,12 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType
 
 from ..functions.scalars import chunk_name
+from . import scans
 
 HIDDEN = ("gemini_file_uri", "chunk_metadata", "blocked")
 ARRAY_LIMIT, SAMPLE, INDEXED, MAX_DEPTH = 50, 3, 10, 10
@@ -41,7 +42,7 @@ def chunk_rows(df: DataFrame, total: str, length: Column) -> DataFrame:
 
 def with_offset(df: DataFrame, group: str, order: str, length: Column) -> DataFrame:
     """Position within its asset, from 0 in the order given, times the segment's length."""
-    return df.withColumn("offset", (F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1) * length)
+    return scans.positions(df, [group], [order], "offset").withColumn("offset", F.col("offset") * length)
 
 
 def joined_text(df: DataFrame, group: str, order: str, text: str, separator: str = "\n\n") -> DataFrame:
@@ -153,8 +154,7 @@ def timed(raw: pd.Series, start: pd.Series, length: pd.Series) -> pd.Series:
 
 def sequential(df: DataFrame, group: str, order: str, raw: str, length: float) -> DataFrame:
     """Chunks of an asset in order: result_id (their place as text), position, and ``raw`` with times from the asset's start."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    df = df.withColumn("position", place).withColumn("result_id", F.col("position").cast("string"))
+    df = scans.positions(df, [group], [order], "position").withColumn("result_id", F.col("position").cast("string"))
     return df.withColumn(raw, timed(F.col(raw), F.col("position") * F.lit(float(length)), F.lit(float(length))))
 
 

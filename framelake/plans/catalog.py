@@ -11,6 +11,7 @@ from ..functions import documents as D
 from ..functions import scalars as S
 from ..operators import admission as A
 from ..operators import relations as R
+from ..operators import scans
 from ..operators import search as V
 from ..operators import segments as G
 from ..streaming import jobs as J
@@ -325,7 +326,8 @@ def upsert(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q45_trailing_count", "SELECT event_id, count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS n FROM events")
 def trailing_count(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").select("event_id", F.expr("count(*) over (partition by user_id, event_type order by ts range between interval 24 hours preceding and current row)").alias("n"))
+    e = read(spark, d, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return scans.trailing(e, ["user_id", "event_type"], "t", 86_400_000_000, "n").select("event_id", "n")
 
 
 @query("q46_admission", """

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalars import sync_status
+from ..operators import scans
 from ..operators.admission import admit
 
 #: Status to the statuses that may follow it.
@@ -105,7 +106,7 @@ def next_status(now: str, asked: str) -> str:
     return asked if asked in TRANSITIONS.get(now, set()) else now
 
 
-def lifecycle(events: DataFrame, key: str, seq: str, status: str) -> DataFrame:
+def lifecycle(events: DataFrame, key: str, seq: str, status: str, hot_rows: int | None = None) -> DataFrame:
     """(key, status, steps) after all events in order; a transition that isn't allowed is ignored.
 
     Events in order are cut into chunks of CHUNK.  A chunk becomes a map from each status before it to
@@ -124,8 +125,7 @@ def lifecycle(events: DataFrame, key: str, seq: str, status: str) -> DataFrame:
         then = lambda x: F.get(chunk, F.array_position(F.lit(states), x["status"]).cast("int") - 1)
         return F.transform(done, lambda x: F.struct(then(x)["status"].alias("status"), (x["steps"] + then(x)["steps"]).alias("steps")))
 
-    place = F.row_number().over(Window.partitionBy(key).orderBy(seq, status)) - 1
-    rows = events.select(key, seq, status, place.alias("__i")).withColumn("__c", F.floor(F.col("__i") / CHUNK))
+    rows = scans.positions(events.select(key, seq, status), [key], [seq, status], "__i", hot_rows).withColumn("__c", F.floor(F.col("__i") / CHUNK))
     chunks = rows.groupBy(key, "__c").agg(F.array_sort(F.collect_list(F.struct(F.col("__i").alias("i"), F.col(status).alias("to")))).alias("e"))
     maps = chunks.select(key, "__c", F.aggregate(F.transform("e", lambda x: x["to"]), same, lambda done, to: F.transform(done, lambda x: step(x, to))).alias("m"))
 
