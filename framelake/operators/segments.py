@@ -12,7 +12,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StringType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 from ..functions.scalars import chunk_name
 from . import scans
@@ -80,6 +80,24 @@ def text_of(x: Any) -> str:
     return x if isinstance(x, str) else as_json(x)
 
 
+def plain(x: Any) -> str:
+    """One value as a browser prints it within a text."""
+    match x:
+        case dict():
+            return "[object Object]"
+        case list():
+            return ",".join("" if i is None else plain(i) for i in x)
+        case float():
+            return number(x) or ("NaN" if math.isnan(x) else "Infinity" if x > 0 else "-Infinity")
+        case _:
+            return text_of(x)
+
+
+def keyed(x: Any) -> dict:
+    """The fields of an object, or the places of a list or text; anything else has none."""
+    return x if isinstance(x, dict) else {str(k): v for k, v in enumerate(x)} if isinstance(x, list | str) else {}
+
+
 def cells_of(name: str, x: Any, depth: int) -> Iterator[tuple[str, str]]:
     """Cells of a value under its dotted name.
 
@@ -87,24 +105,26 @@ def cells_of(name: str, x: Any, depth: int) -> Iterator[tuple[str, str]]:
     a text, number, truth value                            itself
     null, an empty list, a number that isn't finite        an empty cell
     a list of more than ARRAY_LIMIT                        its size, and a sample of SAMPLE joined by ``; ``
-    at most INDEXED objects whose keys the first one has   each object under name[index]
+    at most INDEXED parts whose keys the first one has     each part under name[index]
     another list that starts with an object or a list      all joined by `` | ``
     a list that starts otherwise                           all but nulls joined by ``; ``
     an object                                              its own cells
     =====================================================  ==========================================
+
+    A part is an object or a list, whose keys are its places.
     """
     match x:
         case dict():
             yield from flat_items(x, name, depth + 1)
         case list() if len(x) > ARRAY_LIMIT:
             yield from ((name, f"[{len(x)} items]"), (f"{name}_sample", "; ".join(map(text_of, x[:SAMPLE]))))
-        case [dict() as first, *_] if len(x) <= INDEXED and all(isinstance(i, dict) and i.keys() <= first.keys() for i in x):
+        case [dict() | list() as first, *_] if len(x) <= INDEXED and all(isinstance(i, dict | list) and keyed(i).keys() <= keyed(first).keys() for i in x):
             for n, i in enumerate(x):
-                yield from flat_items(i, f"{name}[{n}]", depth + 1)
+                yield from flat_items(keyed(i), f"{name}[{n}]", depth + 1)
         case [dict() | list(), *_]:
             yield name, " | ".join(map(text_of, x))
         case list():
-            yield name, "; ".join(text_of(i) for i in x if i is not None)
+            yield name, "; ".join(plain(i) for i in x if i is not None)
         case None:
             yield name, ""
         case float():
@@ -123,39 +143,40 @@ def flat_items(x: dict, prefix: str = "", depth: int = 0) -> Iterator[tuple[str,
             yield from cells_of(f"{prefix}.{k}" if prefix else k, v, depth)
 
 
-def with_times(x: Any, start: float, length: float) -> Any:
+def with_times(x: Any, position: int, length: float) -> Any:
     """A chunk's document with its place in the whole: chunk_metadata, and times of its timed items from the whole's start.
 
     Only times that are numbers move; the item keeps them, and has them again as ``chunk_`` and ``video_`` times.
     """
+    start = position * length
+
     def moved(item: Any) -> Any:
-        if not isinstance(item, dict):
-            return item
+        item = keyed(item)
         times = {k: v for k, v in item.items() if k in TIMES and isinstance(v, int | float) and not isinstance(v, bool)}
         return item | {f"video_{k}": start + v for k, v in times.items()} | {f"chunk_{k}": v for k, v in times.items()}
 
     lists = {k: [moved(i) for i in x[k]] for k in TIMED if isinstance(x.get(k), list)}
-    place = {"chunk_index": round(start / length) if length else 0, "chunk_start_time": start, "chunk_duration": length, "video_timestamp_start": start, "video_timestamp_end": start + length}
+    place = {"chunk_index": position, "chunk_start_time": start, "chunk_duration": length, "video_timestamp_start": start, "video_timestamp_end": start + length}
     return x | lists | {"chunk_metadata": place}
 
 
 @F.pandas_udf(StringType())
-def timed(raw: pd.Series, start: pd.Series, length: pd.Series) -> pd.Series:
+def timed(raw: pd.Series, position: pd.Series, length: pd.Series) -> pd.Series:
     """JSON of a chunk with times from the start of the whole; what is no JSON object stays as it is."""
-    def one(x: str | None, a: float, n: float) -> str | None:
+    def one(x: str | None, k: int, n: float) -> str | None:
         try:
             v = json.loads(x) if x else None
         except ValueError:
             return x
-        return as_json(with_times(v, a, n)) if isinstance(v, dict) else x
+        return as_json(with_times(v, k, n)) if isinstance(v, dict) else x
 
-    return pd.Series([one(x, float(a), float(n)) for x, a, n in zip(raw, start, length, strict=True)], dtype="object")
+    return pd.Series([one(x, int(k), float(n)) for x, k, n in zip(raw, position, length, strict=True)], dtype="object")
 
 
 def sequential(df: DataFrame, group: str, order: str, raw: str, length: float) -> DataFrame:
     """Chunks of an asset in order: result_id (their place as text), position, and ``raw`` with times from the asset's start."""
     df = scans.positions(df, [group], [order], "position").withColumn("result_id", F.col("position").cast("string"))
-    return df.withColumn(raw, timed(F.col(raw), F.col("position") * F.lit(float(length)), F.lit(float(length))))
+    return df.withColumn(raw, timed(F.col(raw), F.col("position"), F.lit(float(length))))
 
 
 def export_json(df: DataFrame, job: str, video: Column, filename: Column, order: str, raw: str, length: float) -> DataFrame:
@@ -179,9 +200,80 @@ def flattened(raw: pd.Series) -> pd.Series:
     return raw.map(one)
 
 
-def csv_columns(df: DataFrame, flat: str) -> list[str]:
-    """Sorted union of all keys, for a CSV's header: distinct keys only come to the driver."""
-    return [r[0] for r in df.select(F.explode(F.map_keys(flat)).alias("k")).distinct().orderBy("k").collect()]
+#: Columns that every scene has, before those that its job's scenes have.
+SCENE_COLUMNS = (
+    "Chunk Index", "Chunk Video Start (s)", "Chunk Video End (s)", "Scene Index", "Scene Video Start (s)", "Scene Video End (s)", "Scene Chunk Start (s)", "Scene Chunk End (s)",
+)
+SCENE = ArrayType(StructType().add("fixed", ArrayType(StringType())).add("cells", MapType(StringType(), StringType())))
+
+
+@F.pandas_udf(SCENE)
+def scenes_of(raw: pd.Series) -> pd.Series:
+    """Each scene of a chunk's document with times (see ``timed``): its SCENE_COLUMNS and its own cells.  A document without scenes is one, of its own cells."""
+    def first(x: dict, *names: str) -> str:
+        return next((plain(x[n]) for n in names if x.get(n) is not None), "")
+
+    def one(x: str | None) -> list[dict]:
+        try:
+            v = keyed(json.loads(x)) if x else {}
+        except ValueError:
+            v = {}
+        place = v.get("chunk_metadata") or {}
+        head = [first(place, n) for n in ("chunk_index", "video_timestamp_start", "video_timestamp_end")]
+        scenes = v["scenes"] if isinstance(v.get("scenes"), list) else []
+        if not scenes:
+            return [{"fixed": [*head, "", "", "", "", ""], "cells": dict(flat_items(v))}]
+        times = (("video_start_time", "video_timestamp"), ("video_end_time",), ("chunk_start_time", "chunk_timestamp"), ("chunk_end_time",))
+        return [{"fixed": [*head, str(n), *(first(s, *t) for t in times)], "cells": dict(flat_items(s))} for n, s in enumerate(map(keyed, scenes))]
+
+    return raw.map(one)
+
+
+def csv_cell(x: Column) -> Column:
+    """Quoted where it holds a comma, a quote or a line feed."""
+    return F.when(x.rlike("[,\"\n]"), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
+
+
+def scene_rows(df: DataFrame, job: str, order: str, raw: str, length: float) -> DataFrame:
+    """(job, position, scene, fixed, cells): a row for each scene of a job's results in order, or for a result without scenes."""
+    rows = sequential(df.select(job, order, raw), job, order, raw, length)
+    return rows.select(job, "position", F.posexplode(scenes_of(raw)).alias("scene", "s")).select(job, "position", "scene", "s.fixed", "s.cells")
+
+
+def scene_csv(df: DataFrame, job: str, order: str, raw: str, length: float) -> DataFrame:
+    """(job, line_no, line): each job's CSV, line 0 its header.  Sort by both to print it.
+
+    The header has SCENE_COLUMNS and the sorted keys that any scene of the job has; cells that a scene lacks are empty.
+    Headers are found in the cluster: keys combine before they move, and a job's scenes meet its header in a join, so no job and no header comes to the
+    driver.  A line holds all of its job's columns.  Jobs without results have no lines.
+    """
+    rows = scene_rows(df, job, order, raw, length)
+    keys = rows.select(job, F.explode_outer(F.map_keys("cells")).alias("k")).groupBy(job).agg(F.array_sort(F.collect_set("k")).alias("__keys"))
+    comma = lambda xs: F.array_join(F.transform(xs, csv_cell), ",")
+    header = keys.select(job, F.lit(0).cast("long").alias("line_no"), comma(F.concat(F.array(*[F.lit(c) for c in SCENE_COLUMNS]), "__keys")).alias("line"))
+    placed = scans.positions(rows, [job], ["position", "scene"], "line_no").withColumn("line_no", F.col("line_no") + 1)
+    met = placed.alias("r").join(keys.alias("k"), F.col(f"r.{job}").eqNullSafe(F.col(f"k.{job}"))).select(f"r.{job}", "line_no", "fixed", "cells", "__keys")
+    cells = F.transform("__keys", lambda k: F.coalesce(F.try_element_at("cells", k), F.lit("")))
+    return header.unionByName(met.select(job, "line_no", comma(F.concat("fixed", cells)).alias("line")))
+
+
+def write_scene_csv(df: DataFrame, job: str, order: str, raw: str, length: float, path: str) -> None:
+    """A folder for each job with its CSV in one file, lines in order.  A job's lines stream through one task's writer."""
+    lines = scene_csv(df, job, order, raw, length).withColumn("job", F.col(job).cast("string")).repartition("job").sortWithinPartitions("job", "line_no")
+    lines.select("job", "line").write.mode("overwrite").partitionBy("job").text(path)
+
+
+#: Columns of one table of all jobs; open keys (ids as keys) may be far more.
+MOST_COLUMNS = 10_000
+
+
+def csv_columns(df: DataFrame, flat: str, most: int = MOST_COLUMNS) -> list[str]:
+    """Sorted union of all keys, for one CSV of all rows: distinct keys only come to the driver, and more than ``most`` are refused."""
+    keys = df.select(F.explode(F.map_keys(flat)).alias("k")).distinct()
+    found = sorted(r[0] for r in keys.limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"more than {most} different keys: export by job, or in long form")
+    return found
 
 
 def write_csv(df: DataFrame, flat: str, fixed: list[str], path: str) -> None:

@@ -51,7 +51,7 @@ def test_model_answers(spark, raw, good):
 
 
 FLAT = [
-    ({"a": [{"x": 1}, 3]}, {"a": '{"x":1} | 3'}), ({"a": [[1, 2], ["b"]]}, {"a": '[1,2] | ["b"]'}), ({"a": [1, None, "b", True]}, {"a": "1; b; true"}), ({"a": []}, {"a": ""}), ({"a": {}}, {}), ({"a": None}, {"a": ""}),
+    ({"a": [{"x": 1}, 3]}, {"a": '{"x":1} | 3'}), ({"a": [[1, 2], ["b"]]}, {"a[0].0": "1", "a[0].1": "2", "a[1].0": "b"}), ({"a": [[1], [2, 3]]}, {"a": "[1] | [2,3]"}), ({"a": [[], {}]}, {}), ({"a": [1, {"b": 2}, [3, None, 4]]}, {"a": "1; [object Object]; 3,,4"}), ({"a": [1, None, "b", True]}, {"a": "1; b; true"}), ({"a": []}, {"a": ""}), ({"a": {}}, {}), ({"a": None}, {"a": ""}),
     ({"a": [{"x": 1}, {"y": 2}]}, {"a": '{"x":1} | {"y":2}'}), ({"a": [{"x": 1, "y": 1e-5}, {"y": 2e-7}]}, {"a[0].x": "1", "a[0].y": "0.00001", "a[1].y": "2e-7"}), ({"a": [{"x": k} for k in range(11)]}, {"a": " | ".join(f'{{"x":{k}}}' for k in range(11))}),
     ({"a": list(range(51))}, {"a": "[51 items]", "a_sample": "0; 1; 2"}), ({"chunk_x": 1, "a": {"video_y": 1, "z": 1e21}, "blocked": True}, {"a.z": "1e+21"}),
 ]
@@ -74,7 +74,7 @@ def test_timed(spark):
     rows = spark.createDataFrame([("j", 1, raw), ("j", 2, raw), ("j", 3, None), ("j", 4, "no"), ("j", 5, "[1]")], "j string, o int, raw string")
     got = {r["o"]: r for r in G.sequential(rows, "j", "o", "raw", 30.0).collect()}
     second = json.loads(got[2]["raw"])
-    assert second["scenes"] == [{"timestamp": 1, "start_time": "0:01", "end_time": True, "video_timestamp": 31, "chunk_timestamp": 1}, "x"]
+    assert second["scenes"] == [{"timestamp": 1, "start_time": "0:01", "end_time": True, "video_timestamp": 31, "chunk_timestamp": 1}, {"0": "x"}]
     assert second["events"] == [{"end_time": 2.5, "video_end_time": 32.5, "chunk_end_time": 2.5}] and second["moments"] == "none"
     assert second["chunk_metadata"] == {"chunk_index": 1, "chunk_start_time": 30, "chunk_duration": 30, "video_timestamp_start": 30, "video_timestamp_end": 60}
     assert [got[k]["raw"] for k in (3, 4, 5)] == [None, "no", "[1]"] and got[5]["result_id"] == "4"
@@ -132,3 +132,38 @@ def test_offline_embedding(spark):
     df = spark.createDataFrame([("The cat sat",), ("the  CAT sat ",), ("other words",), ("",), (None,)], "t string")
     v = [r[0] for r in df.select(U.hashed_embedding(F.col("t"))).collect()]
     assert v[0] == v[1] != v[2] and v[3] == v[4] == [0.0] * U.DIMENSIONS and abs(sum(x * x for x in v[0]) - 1) < 1e-9
+
+
+def test_scene_csv(spark, tmp_path):
+    rows = [
+        ("j", 1, {"scenes": [{"start_time": 1, "end_time": 2.5, "a": 'q "r", s', "chunk_summary": "hidden"}, {"timestamp": 4, "b": {"c": None}}, None]}),
+        ("j", 2, {"scenes": [], "genre": "x\ny"}), ("j", 3, {"genre": "last", "scenes": None}), ("k", 1, {"scenes": [[7, "z"], "é", 5]}), ("l", 1, None), (None, 1, {"d": 1}),
+    ]
+    df = spark.createDataFrame([(j, o, json.dumps(r) if r is not None else None) for j, o, r in rows], "job string, o int, raw string")
+    got = {}
+    for r in sorted(G.scene_csv(df, "job", "o", "raw", 30.0).collect(), key=lambda r: (str(r["job"]), r["line_no"])):
+        got.setdefault(r["job"], []).append(r["line"])
+    head = ",".join(G.SCENE_COLUMNS)
+    assert got["j"] == [
+        head + ",a,b.c,end_time,genre,scenes,start_time,timestamp", '0,0,30,0,1,2.5,1,2.5,"q ""r"", s",,2.5,,,1,', "0,0,30,1,4,,4,,,,,,,,4", "0,0,30,2,,,,,,,,,,,",
+        '1,30,60,,,,,,,,,"x\ny",,,', "2,60,90,,,,,,,,,last,,,",
+    ]
+    assert got["k"] == [head + ",0,1", "0,0,30,0,,,,,7,z", "0,0,30,1,,,,,é,", "0,0,30,2,,,,,,"]
+    assert got["l"] == [head, ",,,,,,,"] and got[None] == [head + ",d", "0,0,30,,,,,,1"]
+    assert G.scene_csv(df.limit(0), "job", "o", "raw", 30.0).count() == 0
+    G.write_scene_csv(df.where("job = 'k'"), "job", "o", "raw", 30.0, str(tmp_path / "csv"))
+    (file,) = (tmp_path / "csv" / "job=k").glob("*.txt")
+    assert file.read_text().splitlines() == got["k"]
+
+
+def test_chunks_without_a_length_keep_their_places(spark):
+    df = spark.createDataFrame([("j", k, "{}") for k in range(3)], "j string, o int, raw string")
+    got = [json.loads(r["raw"])["chunk_metadata"]["chunk_index"] for r in G.sequential(df, "j", "o", "raw", 0.0).orderBy("o").collect()]
+    assert got == [0, 1, 2]
+
+
+def test_too_many_columns_are_refused(spark):
+    df = spark.createDataFrame([({str(k): "v" for k in range(5)},)], "flat map<string,string>")
+    assert G.csv_columns(df, "flat", 5) == list("01234")
+    with pytest.raises(ValueError):
+        G.csv_columns(df, "flat", 4)
