@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DatetimeType, FractionalType
 
 
 def lookup(df: DataFrame, key: str, value) -> DataFrame:  # noqa: ANN001
@@ -69,13 +70,23 @@ def roll_up(rows: DataFrame, job: str, tokens: Column, cost: Column, reason: Col
     )
 
 
-def current(log: DataFrame, key: str, seq: str, op: str) -> DataFrame:
-    """Latest row per key of an append log; a deleted key has none.
+def newest_of(log: DataFrame, key: str, seq: str, op: str) -> DataFrame:
+    """The newest row of each key of an append log, deletions too.
 
-    Replayed rows change nothing; of different rows of one place in the order the smaller op and then the smaller row counts.
+    Tasks keep one row of each key before rows move.  ``seq`` is a number or a time, and null before all others.  Of different rows of one place in
+    the order the smaller op and then the smaller row counts.
     """
-    newest_first = Window.partitionBy(key).orderBy(F.col(seq).desc(), op, F.to_json(F.struct("*")))
-    return log.withColumn("__r", F.row_number().over(newest_first)).where((F.col("__r") == 1) & (F.col(op) != "delete")).drop("__r")
+    at, kind = F.col(f"`{seq}`"), log.schema[seq].dataType
+    at = F.unix_micros(at.cast("timestamp")) if isinstance(kind, DatetimeType) else at
+    backwards = -at if isinstance(kind, FractionalType) else F.bitwise_not(at)  # which no whole number overflows
+    row = F.struct(*[F.col(f"`{c}`") for c in log.columns])
+    order = F.struct(at.isNull(), backwards, F.col(f"`{op}`"), F.to_json(row))
+    return log.groupBy(F.col(f"`{key}`").alias("__key")).agg(F.min_by(row, order).alias("__row")).select("__row.*")
+
+
+def current(log: DataFrame, key: str, seq: str, op: str) -> DataFrame:
+    """Latest row per key of an append log; a deleted key has none.  Replayed rows change nothing."""
+    return newest_of(log, key, seq, op).where(F.col(op) != "delete")
 
 
 def patched(base: DataFrame, patch: DataFrame, key: str, columns: list[str]) -> DataFrame:
