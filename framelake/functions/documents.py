@@ -111,7 +111,9 @@ def embedding_text(d: Column, raw: Column) -> Column:
     told = F.aggregate(scenes, F.struct(empty.alias("seen"), empty.alias("out")), step)["out"]
     notes = F.transform(F.filter(F.coalesce(d["notable_observations"], empty), lambda x: ~is_blank(x)), strip)
     parts = F.concat(F.filter(F.array(*labelled, summary, mood, setting), lambda x: x.isNotNull()), told, notes)
-    return F.when(F.size(parts) > 0, F.array_join(parts, " ")).otherwise(all_text(raw))
+    text = F.when(F.size(parts) > 0, F.array_join(parts, " "))
+    # Functions run before conditions choose, so only documents without parts are handed to Python.
+    return F.coalesce(text, all_text(F.when(F.size(parts) == 0, raw)), F.lit(""))
 
 
 def strings_in(x: Any, depth: int = 0) -> list[str]:
@@ -127,9 +129,9 @@ def strings_in(x: Any, depth: int = 0) -> list[str]:
 @F.pandas_udf(StringType())
 def all_text(raw: pd.Series) -> pd.Series:
     """Every string of a JSON text in its own key order, which no native type keeps."""
-    def one(x: str | None) -> str:
+    def one(x: str | None) -> str | None:
         try:
-            return " ".join(strings_in(json.loads(x or "{}")))
+            return " ".join(strings_in(json.loads(x))) if x else x
         except ValueError:
             return ""
 
