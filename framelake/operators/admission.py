@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import client_ip, expiry
 from . import scans
 
 
@@ -56,3 +57,17 @@ def admission(requests: DataFrame, keys: list[str], at: str, order: str, limit:
     busy = timed.where("__busy").repartition(*keys, "__run").sortWithinPartitions(*keys, "__run", "__t", F.col("__starts").desc(), order)
     calm = timed.where("not __busy").select(*names, F.lit(True).alias("accepted"))
     return busy.mapInPandas(step, schema).unionByName(calm).unionByName(slim.where(F.col("__t").isNull()).select(*names, F.lit(False).alias("accepted")))
+
+
+def client_admission(requests: DataFrame, forwarded: str, host: str, group: str, at: str, order: str, limit: int = 2, window_minutes: int = 10, hot_rows: int | None = None) -> DataFrame:
+    """``requests`` with client_ip, accepted, expires and retry_after.
+
+    A client is the first forwarded address, else the host, else ``unknown``; limits hold for each client and ``group``.  An accepted request
+    is recorded and expires a window later; a refused one isn't recorded and may come again after ``retry_after`` seconds.
+    ``order`` is a request's number and tells requests apart.  A request without a time is refused.
+    """
+    named = requests.withColumn("client_ip", client_ip(F.col(forwarded), F.col(host)))
+    got = admission(named, ["client_ip", group], at, order, limit, window_minutes * 60, hot_rows)
+    out = named.alias("r").join(got.select(order, "accepted").alias("a"), order)
+    yes = F.col("accepted")
+    return out.select(*[F.col(f"r.`{c}`") for c in named.columns], "accepted").withColumn("expires", F.when(yes, expiry(F.col(at), window_minutes))).withColumn("retry_after", F.when(~yes, window_minutes * 60))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import documents as D
 from ..functions import scalars as S
 from ..operators import relations as R
+from ..operators import scans
 from ..operators import search as V
 from ..operators import segments as G
 from ..streaming import jobs as J
@@ -335,8 +336,8 @@ def visible_jobs(spark: SparkSession, d: str) -> DataFrame:
 def client_limits(spark: SparkSession, d: str) -> DataFrame:
     u, k = F.col("user_id").cast("string"), F.col("event_id") % 3
     ip = S.client_ip(F.when(k == 0, F.concat(F.lit(" u"), u, F.lit(" , proxy"))), F.when(k == 1, F.concat(F.lit("h"), (F.col("user_id") % 5).cast("string"))))
-    rows = read(spark, d, "events").select("event_id", "ts", ip.alias("ip"))
-    return rows.select("event_id", "ip", F.expr("count(*) over (partition by ip order by ts range between interval 10 minutes preceding and current row)").alias("seen"))
+    rows = read(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), ip.alias("ip"))
+    return scans.trailing(rows, ["ip"], "t", 600_000_000, "seen").select("event_id", "ip", "seen")
 
 
 @query("q77_deleted_analysis", """

@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from .plans import composites  # noqa: F401  registers its queries
+from .plans import composites, services  # noqa: F401  register their queries
 from .plans.catalog import ORACLES, QUERIES, search_top_k
 
 __all__ = ["ORACLES", "QUERIES", "search_top_k"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,15 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._framelake_path)
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside hand Python at most so many rows at once, for rows that are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(was)) if int(was) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
