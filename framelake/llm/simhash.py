@@ -174,16 +174,23 @@ def links(codes: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
     return asked.groupBy("block", "slice").applyInPandas(search, "a bigint, b bigint")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every node of edges u to v has one edge up and none down, or the other way round.  As u > v, each v then is the smallest node that its u reach."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+    degrees = ends.groupBy("x").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+    return degrees.where("up > 1 or up = 1 and n > 1").limit(1).isEmpty()
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): smallest node that can be reached, for every node of ``edges``.
 
-    Large-star and small-star steps in turn (Kiveris and others, 2014); each round is written to the
+    Large-star and small-star steps in turn (Kiveris and others, 2014) until only stars are left, which is proven to come about; what
+    are stars already costs no step.  Each step is written to the
     shared folder.  Minima are combined on the map side and written before they join back, so a
     node with very many neighbours is split by adaptive execution.
     """
     edges = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    was = None
-    for _ in range(rounds):
+    while not are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -193,14 +200,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = materialise(small.where("u != v").distinct(), "edges")
         discard(large, low)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == was:
-            break
-        was = now
-    else:
-        raise RuntimeError("components did not settle")
-    roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -372,11 +372,13 @@ def near_links(rows: DataFrame, distance: int = DISTANCE, similarity: float = SI
     discard(placed, apart)
     met = left.join(right, "g").where(meets).groupBy(F.col("sid").alias("a"), F.col("other").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
     rest = materialise(met.where(within).select("a", "b"), "rest")
-    second = alike(rest, sets, similarity)
-    discard(left, rest, slim)
+    found = comps.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))  # connects what ``first`` does
+    if not rest.isEmpty():
+        found = found.unionByName(alike(rest, sets, similarity))
+    discard(left, rest, slim, first)
     narrow = materialise(nodes.select("rid", "id", "sid"), "near-ids")
     discard(nodes)
-    return narrow, first.unionByName(second)
+    return narrow, found
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
