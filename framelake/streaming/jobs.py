@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalars import sync_status
 from ..operators import scans
 from ..operators.admission import admit
+from .state import InOrder, in_order
 
 #: Status to the statuses that may follow it.
 TRANSITIONS = {
@@ -27,79 +26,99 @@ AT_WORK = ("transcoding", "processing")
 CHUNK = 1_000
 
 
-def in_order(state: GroupState, batches: Iterator[pd.DataFrame], columns: list[str]) -> tuple[tuple, list[tuple], list[tuple]]:
-    """(what else the state holds, events up to the watermark in order, later ones).  Events are held until the watermark has passed them."""
-    held, *rest = state.get if state.exists else (None,)
-    events = [tuple(json.loads(x)) for x in held or []] + [tuple(r) for b in batches for r in b[columns].astype(object).where(b[columns].notna(), None).itertuples(index=False, name=None)]
-    events.sort(key=lambda e: (e[0], -1 if e[1] is None else e[1], str(e[2:])))
-    now = state.getCurrentWatermarkMs() * 1000
-    return tuple(rest), [e for e in events if e[0] <= now], [e for e in events if e[0] > now]
+#: Microseconds of events that are taken together.
+BUCKET = 1_000_000
+
+
+class Admission(InOrder):
+    """State: accepted times that are still in the window."""
+
+    def __init__(self, limit: int, window: int):
+        super().__init__(["id"], "id:bigint", "kept array<bigint>", BUCKET)
+        self.limit, self.window = limit, window
+
+    def start(self) -> tuple:
+        return ([],)
+
+    def taken(self, key: Any, state: tuple, events: list[tuple]) -> tuple[tuple, list[tuple]]:
+        accepted, kept = admit([t for t, _ in events], self.limit, self.window, [int(k) for k in state[0]])
+        return (kept,), [(key[0], i, ok) for (_, i), ok in zip(events, accepted, strict=True)]
+
+    def waits(self, state: tuple) -> int | None:
+        return int(state[0][-1]) + self.window if len(state[0]) else None
+
+    def passed(self, key: Any, state: tuple, now: int) -> tuple[tuple | None, list[tuple]]:
+        return None if next(iter(self.buckets.keys()), None) is None else ([],), []
+
+    def result(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["key", "id", "accepted"]).astype({"id": "int64", "accepted": "bool"})
 
 
 def admission_stream(requests: DataFrame, key: str, at: str, order: str, limit: int, window_seconds: int, lateness: str = "10 seconds") -> DataFrame:
     """As ``operators.admission`` over a stream, by event time.
 
-    A request is decided once the watermark has passed it, so rows that come late, but within ``lateness``, are decided in
+    A request is decided once the watermark has passed its second, so rows that come late, but within ``lateness``, are decided in
     their place; later ones are dropped.  Accepted times are the state; a key is forgotten when they have all left the
     window.  Rows without a time have no place and are dropped.
     """
-    window = window_seconds * 1_000_000
     slim = requests.withWatermark(at, lateness).where(F.col(at).isNotNull())
-    slim = slim.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("id"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(at))
+    slim = slim.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(order).cast("long").alias("id"), F.col(at))
+    return in_order(slim, Admission(limit, window_seconds * 1_000_000), "key string, id long, accepted boolean")
+
+
+class LifeCycle(InOrder):
+    """State: status, number of changes, time of the last event, step and progress within processing."""
 
-    def step(k: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (kept,) = state.get[1:] if state.exists else ([],)
-        _, ready, later = in_order(state, batches, ["t", "id"])
-        accepted, kept = admit([t for t, _ in ready], limit, window, kept)
-        if later or kept:
-            state.update(([json.dumps(e) for e in later], kept))
-            until = later[0][0] if later else kept[-1] + window
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, until // 1000 + 1))
-        elif state.exists:
-            state.remove()
-        if ready:
-            yield pd.DataFrame({"key": k[0], "id": [i for _, i in ready], "accepted": accepted})
+    def __init__(self, limit: int):
+        super().__init__(["seq", "asked", "ok", "step", "progress"], "seq:bigint,asked:string,ok:boolean,step:string,progress:double", "status string, steps int, last bigint, step string, progress double", BUCKET)
+        self.limit = limit
 
-    return slim.groupBy("key").applyInPandasWithState(step, "key string, id long, accepted boolean", "held array<string>, kept array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    def start(self) -> tuple:
+        return "pending", 0, 0, None, None
 
+    def taken(self, key: Any, state: tuple, events: list[tuple]) -> tuple[tuple, list[tuple]]:
+        now, steps, last, step, progress = state
+        out = []
 
-def lifecycle_stream(events: DataFrame, key: str, at: str, seq: str, status: str, usable: str, timeout_seconds: int = 600, lateness: str = "10 seconds") -> DataFrame:
-    """(key, status, steps, reason) after each change of a job, by event time.
+        def become(to: str, reason: str | None, new_step: str | None, new_progress: float | None) -> None:
+            nonlocal now, steps, step, progress
+            if (to, new_step, new_progress) != (now, step, progress):
+                steps += to != now
+                now, step, progress = to, new_step, new_progress
+                out.append((key[0], now, steps, reason, step, progress))
+
+        for t, _, asked, ok, at_step, at_progress in events:
+            if now in AT_WORK and t > last + self.limit:
+                become("failed", "TIMEOUT", None, None)
+            if now in AT_WORK or now == "pending" or ok:
+                to = next_status(now, asked) if ok else next_status(now, "failed")
+                told = ok and asked == to and to in AT_WORK
+                become(to, None if ok else "unusable", *((at_step, at_progress) if told else (step, progress) if to == now else (None, None)))
+            last = t
+        return (now, steps, last, step, progress), out
+
+    def waits(self, state: tuple) -> int | None:
+        return state[2] + self.limit if state[0] in AT_WORK else None
+
+    def passed(self, key: Any, state: tuple, now: int) -> tuple[tuple | None, list[tuple]]:
+        return ("failed", state[1] + 1, state[2], None, None), [(key[0], "failed", state[1] + 1, "TIMEOUT", None, None)]
+
+    def result(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["key", "status", "steps", "reason", "step", "progress"]).astype({"steps": "int32", "progress": "float64"})
+
+
+def lifecycle_stream(events: DataFrame, key: str, at: str, seq: str, status: str, usable: str, timeout_seconds: int = 600, lateness: str = "10 seconds", step: str | None = None, progress: str | None = None) -> DataFrame:
+    """(key, status, steps, reason, step, progress) after each change of a job, by event time.
 
     An event asks for a status; one that may not follow the present one changes nothing, and one that isn't ``usable`` (say, a
-    job without a reference to what it works on) makes a live job fail.  A job that is at work and hears nothing for
+    job without a reference to what it works on) makes a live job fail.  An event that asks for the status in which the job already is at work tells its
+    ``step`` (say, chunking, then analysing) and ``progress``; they end with that status.  A job that is at work and hears nothing for
     ``timeout_seconds`` fails, too: its reason is the value TIMEOUT, no exception.
     """
-    slim = events.withWatermark(at, lateness).select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(seq).cast("long").alias("seq"), F.col(status).alias("asked"), F.col(usable).alias("ok"), F.col(at))
-
-    def step(k: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, steps, last = state.get[1:] if state.exists else ("pending", 0, 0)
-        _, ready, later = in_order(state, batches, ["t", "seq", "asked", "ok"])
-        out, limit = [], timeout_seconds * 1_000_000
-
-        def change(to: str, reason: str | None) -> None:
-            nonlocal now, steps
-            if to != now:
-                now, steps = to, steps + 1
-                out.append((k[0], now, steps, reason))
-
-        for t, _, asked, ok in ready:
-            if now in AT_WORK and t > last + limit:
-                change("failed", "TIMEOUT")
-            if now in AT_WORK or now == "pending" or ok:
-                change(next_status(now, asked) if ok else next_status(now, "failed"), None if ok else "unusable")
-            last = t
-        passed = state.getCurrentWatermarkMs() * 1000
-        if now in AT_WORK and passed > last + limit:
-            change("failed", "TIMEOUT")
-        state.update(([json.dumps(e) for e in later], now, steps, last))
-        if later or now in AT_WORK:
-            until = min([e[0] for e in later[:1]] + [last + limit] * (now in AT_WORK))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, until // 1000 + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["key", "status", "steps", "reason"])
-
-    return slim.groupBy("key").applyInPandasWithState(step, "key string, status string, steps int, reason string", "held array<string>, status string, steps int, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    slim = events.withWatermark(at, lateness).where(F.col(at).isNotNull())
+    told = [(F.col(c) if c else F.lit(None)).cast(kind).alias(name) for c, kind, name in ((step, "string", "step"), (progress, "double", "progress"))]
+    slim = slim.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(seq).cast("long").alias("seq"), F.col(status).alias("asked"), F.coalesce(usable, F.lit(False)).alias("ok"), *told, F.col(at))
+    return in_order(slim, LifeCycle(timeout_seconds * 1_000_000), "key string, status string, steps int, reason string, step string, progress double")
 
 
 def next_status(now: str, asked: str) -> str:
