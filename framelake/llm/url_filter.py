@@ -17,8 +17,10 @@ from .common import materialise, table
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.95
-#: Confidence over the share of all examples that are blocked.
-MIN_LIFT = 1.2
+#: Rows that a rule of ``judge_urls`` rests on at least.
+MIN_ROWS = 20
+#: Deviations by which a rule's confidence must stand above the share of all examples that are blocked: 99 of 100 sure.  However large that share, enough rows get there.
+SURE = 2.33
 BLOCK = "verdict=block"
 
 
@@ -70,17 +72,24 @@ def frequent_tokens(labelled: DataFrame, least: int) -> list[list[tuple[str, int
     return list(classes.values())
 
 
-def rule_table(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+def least_confidence(hits: Column, n: Column, z: float) -> Column:
+    """Wilson's lower bound of a share of which ``n`` rows give ``hits``."""
+    p, zz = hits / n, z * z
+    return (p + zz / (2 * n) - z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
+
+
+def rule_table(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, z: float = SURE, min_rows: int = 1) -> DataFrame:
     """Rules (tokens, confidence, support, pivot) from (tokens, blocked).
 
-    FP-growth runs on all labelled URLs with all their frequent tokens.  A rule goes if its support or
-    confidence is too low, or its confidence is hardly above the share of blocked examples, or if fewer of its tokens are as confident.  So tokens that occur in exactly
+    FP-growth runs on all labelled URLs with all their frequent tokens.  A rule goes if its support, rows or
+    confidence are too few, or if its confidence isn't surely (``z``) above the share of blocked examples, or if fewer of its tokens are as confident.  So tokens that occur in exactly
     the same rows never make a rule together: one of them is mined, and its rules hold for each.
     The pivot is a rule's rarest token.  Itemsets and rules stay tables.
     """
     total, blocked = labelled.agg(F.count("*"), F.count_if("blocked")).first()
-    min_confidence = max(min_confidence, min_lift * blocked / max(total, 1))
-    classes = frequent_tokens(labelled, math.ceil(min_support * total)) if total else []
+    base = blocked / max(total, 1)
+    min_support = max(min_support, min_rows / max(total, min_rows, 1))
+    classes = frequent_tokens(labelled, math.ceil(min_support * total - 1e-9)) if total else []
     names = F.from_json(F.lit(json.dumps({c[0][0]: [{"n": n, "token": t} for t, n in c] for c in classes})), "map<string,array<struct<n:bigint,token:string>>>")
     mined = F.array(*[F.lit(c[0][0]) for c in classes]).cast("array<string>")
     baskets = labelled.select(F.array_intersect("tokens", mined).alias("tokens"), "blocked")
@@ -97,7 +106,8 @@ def rule_table(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
             level = level.drop("above").join(parts, "t")
         level = materialise(level, "level")
         best = level.select(F.col("t").alias("part"), F.greatest("above", "confidence").alias("best"))
-        kept.append(level.where((F.col("confidence") >= min_confidence) & (F.col("confidence") > F.col("above"))).select("t", "freq", "confidence"))
+        sure = (F.col("confidence") > base) & (least_confidence(F.col("freq"), F.col("freq") / F.col("confidence"), z) > base) if z else F.lit(True)
+        kept.append(level.where((F.col("freq") >= min_rows) & (F.col("confidence") >= min_confidence) & (F.col("confidence") > F.col("above")) & sure).select("t", "freq", "confidence"))
     rules = reduce(DataFrame.unionByName, kept) if kept else rated.select("t", "freq", "confidence")
     none = F.array(F.array().cast("array<struct<n:bigint,token:string>>"))
     each = F.aggregate("t", none, lambda done, x: F.flatten(F.transform(done, lambda d: F.transform(names[x], lambda m: F.array_append(d, m)))))
@@ -124,6 +134,13 @@ def match_rules(token_sets: DataFrame, rules: DataFrame | list[dict]) -> DataFra
     return found.groupBy("tokens").agg(F.max(F.struct("confidence", F.concat_ws(" & ", "need").alias("text"))).alias("best")).select("tokens", F.col("best.text").alias("mined"))
 
 
+def parsed_urls(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """``urls`` (url and others) with host, path, fit (see ``fitting_rule``) and tokens."""
+    url = F.coalesce(F.col("url"), F.lit(""))
+    df = urls.withColumn("host", host_of(url)).withColumn("path", path_of(url))
+    return df.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("tokens", url_tokens(url, F.col("host"), F.col("path")))
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per input row: id, host, path, rule, verdict, mined.
 
@@ -134,21 +151,31 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None
     allowed; null ids and repeated rows keep their rows; empty tables give none; other columns are ignored.
     """
     rules = RULES if rules is None else rules
-    url = F.coalesce(F.col("url"), F.lit(""))
-    def parsed(df: DataFrame) -> DataFrame:
-        df = df.withColumn("host", host_of(url)).withColumn("path", path_of(url))
-        return df.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("tokens", url_tokens(url, F.col("host"), F.col("path")))
-
-    rows = parsed(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))).drop("url")
+    rows = parsed_urls(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")), rules).drop("url")
     rows = materialise(rows, "urls")
     ruled = rows.where("fit is not null").select("fit", F.array_except("tokens", "fit.names").alias("tokens"))
-    examples = ruled.select("tokens", (F.col("fit.verdict") == "block").alias("blocked")) if labelled is None else parsed(labelled).select("tokens", "blocked")
-    mined = rule_table(examples)
+    examples = ruled.select("tokens", (F.col("fit.verdict") == "block").alias("blocked")) if labelled is None else parsed_urls(labelled.select("url", "blocked"), rules).select("tokens", "blocked")
+    mined = rule_table(examples, min_rows=MIN_ROWS)
     hits = materialise(match_rules(rows.where("fit is null"), mined), "hits")
     judged = rows.where("fit is null").join(hits, "tokens", "left").select("id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("mined").isNull(), "allow").otherwise("block").alias("verdict"), "mined")
     ruled = rows.where("fit is not null").select("id", "host", "path", "fit.rule", "fit.verdict", F.lit(None).cast("string").alias("mined"))
     return ruled.unionByName(judged).withColumnRenamed("id", id_col)
 
 
+def leave_one_rule_out(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(rule, verdict, n, blocked): of the URLs that each fixed rule decides, how many the rules mined from all others block."""
+    rules, out = RULES if rules is None else rules, []
+    named = judge_urls(pages, rules, pages.limit(0).select(F.col(url_col).alias("url"), F.lit(True).alias("blocked")), id_col, url_col).select(F.col(id_col).alias("id"), "rule", F.col("verdict").alias("due"))
+    urls = materialise(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).join(named.where("rule is not null"), "id"), "decided")
+    for h, p, _ in rules:
+        own = urls.where(F.col("rule") == h + p)
+        rest = parsed_urls(urls.where(F.col("rule") != h + p), rules)
+        taught = rest.where("fit is not null").select(F.array_except("tokens", "fit.names").alias("tokens"), (F.col("fit.verdict") == "block").alias("blocked"))
+        sets = parsed_urls(own, [])
+        hits = match_rules(sets, rule_table(taught, min_rows=MIN_ROWS))
+        out.append(sets.join(hits, "tokens", "left").groupBy("rule", F.col("due").alias("verdict")).agg(F.count("*").alias("n"), F.count("mined").alias("blocked")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))

@@ -156,9 +156,33 @@ def test_rules_need_lift(spark):
     sets = [(["a"], True)] * 96 + [(["b"], False)] * 4 + [(["c"], True)] * 20
     labelled = spark.createDataFrame(sets, "tokens array<string>, blocked boolean")
     assert url_filter.mine_rules(labelled, 0.05, 0.95) == []
-    assert sorted(r["tokens"] for r in url_filter.rule_table(labelled, 0.05, 0.95, 1.0).collect()) == [["a"], ["c"]]
+    assert sorted(r["tokens"] for r in url_filter.rule_table(labelled, 0.05, 0.95, z=0).collect()) == [["a"], ["c"]]
 
 
+def test_rules_are_found_where_nearly_all_is_blocked(spark):
+    for n in (90, 2000):  # of 100 and of 2,020 examples
+        rows = [f"http://spam{k % 9}.net/es/z" if k % 2 else f"http://bad.net/es/q{k}" for k in range(n)] + [f"http://good.com/de/{k}" for k in range(max(10, n // 100))]
+        pages = spark.createDataFrame([*enumerate(rows), (9000, "http://bad.org/x"), (9001, "http://other.org/x")], "page_id int, url string")
+        got = {r["page_id"]: r for r in url_filter.judge_urls(pages).collect() if r["page_id"] >= 9000}
+        if n == 90:  # 45 rows aren't sure enough against a share of 90 %, and the same rows of 90 are
+            assert got[9000]["verdict"] == "allow"
+            assert [r["tokens"] for r in url_filter.mine_rules(spark.createDataFrame([(["s"], True)] * 90 + [(["t"], False)] * 10, "tokens array<string>, blocked boolean"), 0.05, 0.95)] == [["s"]]
+        else:
+            assert (got[9000]["verdict"], got[9000]["mined"]) == ("block", "host:bad")
+        assert got[9001]["verdict"] == "allow"
+
+
+def test_rules_rest_on_enough_rows(spark):
+    labelled = spark.createDataFrame([(["few"], True)] * 19 + [(["many"], True)] * 20 + [(["x"], False)] * 61, "tokens array<string>, blocked boolean")
+    assert sorted(r["tokens"] for r in url_filter.rule_table(labelled).collect()) == [["few"], ["many"]]
+    assert [r["tokens"] for r in url_filter.rule_table(labelled, min_rows=url_filter.MIN_ROWS).collect()] == [["many"]]
+
+
+def test_leave_one_rule_out(spark):
+    rows = [f"http://{h}.net/{p}/{k}" for h, p in (("spam", "es"), ("spam", "fr"), ("good", "es")) for k in range(40)] + [f"http://good.com/de/{k}" for k in range(80)]
+    got = {r["rule"]: tuple(r)[1:] for r in url_filter.leave_one_rule_out(spark.createDataFrame(list(enumerate(rows)), "page_id int, url string")).collect()}
+    assert got == {"net/es/": ("block", 80, 40), "net/fr/": ("block", 40, 40), "com/": ("allow", 80, 0)}
+
 def test_repeated_pages(spark):
     pages = spark.createDataFrame([(1, "http://example.com/en/a")] * 3 + [(1, "http://a.org/")], "page_id int, url string")
     assert sorted(r["verdict"] for r in url_filter.judge_urls(pages).collect()) == ["allow", "block", "block", "block"]
