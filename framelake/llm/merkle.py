@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table, text_or_empty
 
-#: Words of a leaf; a leaf never crosses a paragraph's end.  A longer run without white space counts as words of so many characters.
+#: A leaf ends after a word whose hash is 0 modulo this, so that an edit moves no other leaf's borders, and with its paragraph.  A longer run without white
+#: space counts as words of so many characters.
 LEAF_WORDS, WORD_CHARS = 8, 32
 #: A section ends after a paragraph whose hash is 0 modulo this, so that an edit moves no other section's borders.
 SECTION_PARAGRAPHS = 8
@@ -26,10 +27,15 @@ def let(value: Column, of) -> Column:
 
 def leaves_of(text: Column) -> Column:
     """Paragraphs as arrays of 64-bit leaf hashes: array<array<bigint>>."""
-    return F.transform(
-        F.split(text, "\n"),
-        lambda p: F.transform(F.regexp_extract_all(p, F.lit(rf"(?:\S{{1,{WORD_CHARS}}}\s*){{1,{LEAF_WORDS}}}"), F.lit(0)), lambda w: F.xxhash64(w)),
-    )
+    def ends(words: Column) -> Column:
+        last = F.size(words) - 1
+        return F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(F.xxhash64(F.get(words, i)), F.lit(LEAF_WORDS)) == 0))
+
+    def leaves(words: Column) -> Column:
+        cut = let(ends(words), lambda e: F.transform(e, lambda x, j: let(F.coalesce(F.get(e, j - 1) + 2, F.lit(1)), lambda a: F.xxhash64(F.slice(words, a, x + 2 - a)))))
+        return F.when(F.size(words) > 0, cut).otherwise(F.array().cast("array<bigint>"))
+
+    return F.transform(F.split(text, "\n"), lambda p: let(F.regexp_extract_all(p, F.lit(rf"\S{{1,{WORD_CHARS}}}\s*"), F.lit(0)), leaves))
 
 
 def with_tree(df: DataFrame, text: str, out: str) -> DataFrame:

@@ -495,7 +495,12 @@ def plain_tree(text):
     sections, now = [], []
     lines = text.split("\n")
     for k, line in enumerate(lines):
-        leaves = [long(xxhash.xxh64_intdigest(m[0].encode(), 42)) for m in re.finditer(r"(?:[^ \t-\r]{1,32}[ \t-\r]*){1,8}", line)]
+        words = [m[0].encode() for m in re.finditer(r"[^ \t-\r]{1,32}[ \t-\r]*", line)]
+        leaves, h = [], 42
+        for n, w in enumerate(words):
+            h = xxhash.xxh64_intdigest(w, h)
+            if n == len(words) - 1 or xxhash.xxh64_intdigest(w, 42) % 8 == 0:
+                leaves, h = [*leaves, long(h)], 42
         now.append((fold(leaves), leaves))
         if k == len(lines) - 1 or now[-1][0] % 8 == 0:
             sections.append((fold([h for h, _ in now]), now))
@@ -529,6 +534,14 @@ def test_merkle_trees_against_loops(request, which):
     assert bag(got) == bag(want)
 
 
+def test_a_word_in_front_moves_no_other_leaf(spark):
+    r = np.random.default_rng(10)
+    words = [f"w{x}" for x in r.integers(0, 5000, 400)]
+    rows = [(" ".join(words), " ".join(["new", *words])), (" ".join(words), " ".join([*words[:200], "new", *words[201:]])), (" ".join(words), " ".join(words[7:]))]
+    df = merkle.with_tree(merkle.with_tree(spark.createDataFrame(rows, "a string, b string"), "a", "ta"), "b", "tb")
+    assert all(x[0] > 0.9 for x in merkle.with_comparison(df, "ta", "tb", "c").select("c.likeness").collect())
+
+
 def test_differing_branches_locate_an_edit(spark):
     lines = [f"paragraph {k} has the words number {k * k} and some more of its own" for k in range(80)]
     df = spark.createDataFrame([("\n".join(lines), "\n".join([*lines[:40], "an edited paragraph", *lines[41:]]))], "a string, b string")
