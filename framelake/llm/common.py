@@ -54,14 +54,16 @@ def discard(*tables: DataFrame) -> None:
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs that run inside hand Python at most so many rows at once, for rows that are large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(was)) if int(was) > 0 else rows))
+    """Jobs that run inside hand Python, and read from Parquet, at most so many rows at once, for rows that are large."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    was = {k: spark.conf.get(k) for k in keys}
+    for k, v in was.items():
+        spark.conf.set(k, str(min(rows, int(v)) if int(v) > 0 else rows))
     try:
         yield
     finally:
-        spark.conf.set(key, was)
+        for k, v in was.items():
+            spark.conf.set(k, v)
 
 
 def text_or_empty(name: str) -> Column:
