@@ -22,12 +22,24 @@ def existing(asked: DataFrame, listing: DataFrame, key: str = "path") -> DataFra
     return asked.join(listing, key, "left_semi")
 
 
+def with_existence(asked: DataFrame, listing: DataFrame, out: str = "exists", key: str = "path") -> DataFrame:
+    """``asked`` with ``out``: whether each object is there.  A null path isn't."""
+    there = listing.select(key).distinct().withColumn("__there", F.lit(True))
+    return asked.join(there, key, "left").withColumn(out, F.coalesce("__there", F.lit(False))).drop("__there")
+
+
 def context_text(spark: SparkSession, items: DataFrame, path: str) -> DataFrame:
-    """(job, context): labelled texts of a job's items in order.  items: job, position, path, description, label."""
-    texts = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
-    label = F.coalesce(F.nullif(F.col("description"), F.lit("")), F.col("label"))
-    lines = items.join(texts, "path").withColumn("part", F.concat(F.lit("["), label, F.lit("]\n"), "text"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("position", "part"))), lambda x: x["part"])
+    """(job, context): a job's items in order, each under its label.  items: job, position, path, description, filename, context_id.
+
+    The label is the description, else the file's name.  An item that is missing or isn't UTF-8 is skipped; a job of which none is left
+    has the empty text.  A job's items are some few files, which its text holds whole.
+    """
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    texts = read.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text")).where("text is not null")
+    name = F.coalesce("filename", F.concat(F.lit("context_"), F.col("context_id").cast("string"), F.lit(".txt")))
+    label = F.coalesce(F.nullif(F.col("description"), F.lit("")), F.concat(F.lit("Context file: "), name))
+    lines = items.join(texts, "path", "left").withColumn("part", F.concat(F.lit("=== "), label, F.lit(" ===\n"), "text"))
+    parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("position", "part")))), lambda x: x["part"])
     return lines.groupBy("job").agg(F.array_join(parts, "\n\n").alias("context"))
 
 

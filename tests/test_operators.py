@@ -3,6 +3,7 @@
 import base64
 import csv
 import glob
+import hashlib
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from framelake.operators import admission as A
 from framelake.operators import relations as R
 from framelake.operators import search as V
 from framelake.operators import segments as G
-from framelake.sources import files
+from framelake.sources import files, objects
 from framelake.streaming import jobs as J
 
 
@@ -147,12 +148,38 @@ def test_sources(spark, tmp_path):
     assert sorted(r["size"] for r in meta.collect()) == [5, 5]
     assert files.object_contents(spark, str(tmp_path)).where("md5_hash = md5('hello')").count() == 1
     at = {r["path"].rsplit("/", 1)[1]: r["path"] for r in meta.collect()}
-    items = spark.createDataFrame([("j", 1, at["b.txt"], "", "L"), ("j", 0, at["a.txt"], "D", "L")], "job string, position int, path string, description string, label string")
-    assert files.context_text(spark, items, str(tmp_path)).first()["context"] == "[D]\nhello\n\n[L]\nworld"
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "bad.txt").write_bytes(b"\xff\xfe broken")
+    bad = at["b.txt"].replace("b.txt", "sub/bad.txt")
+    rows = [("j", 1, at["b.txt"], "", "b.txt", "1"), ("j", 0, at["a.txt"], "D", "x", "2"), ("j", 2, bad, "D", "x", "3"), ("j", 3, at["a.txt"] + "gone", "D", "x", "4"), ("j", 4, at["a.txt"], None, None, "9"), ("k", 0, bad, "D", "x", "5"), ("k", 1, None, "D", "x", "6")]
+    items = spark.createDataFrame(rows, "job string, position int, path string, description string, filename string, context_id string")
+    got = {r["job"]: r["context"] for r in files.context_text(spark, items, str(tmp_path)).collect()}
+    assert got == {"j": "=== D ===\nhello\n\n=== Context file: b.txt ===\nworld\n\n=== Context file: context_9.txt ===\nhello", "k": ""}
+    there = files.with_existence(items.select("context_id", "path"), files.object_metadata(spark, str(tmp_path)))
+    assert {r["context_id"]: r["exists"] for r in there.collect()} == {"1": True, "2": True, "3": True, "4": False, "5": True, "6": False, "9": True}
     audio = spark.createDataFrame([(base64.b64encode(b"abc").decode(),)], "a string").select(files.decoded_audio(F.col("a"))).first()[0]
     assert bytes(audio) == b"abc"
 
 
+def test_object_source(spark, tmp_path):
+    objects.register(spark)
+    (tmp_path / "a" / "deep").mkdir(parents=True)
+    (tmp_path / "empty").mkdir()
+    made = {"top.mp4": b"video", "a/x.TXT": b"text", "a/deep/y": b"", "a/deep/z.json": b"{}" * 600_000}
+    for name, data in made.items():
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "a" / "broken.png").symlink_to(tmp_path / "nowhere")
+    df = spark.read.format("objects").option("path", str(tmp_path)).option("md5", "true").load()
+    got = {r["path"].split(f"{tmp_path}/")[1]: r for r in df.collect()}
+    assert got.keys() - {"a/broken.png"} == made.keys()  # a link to nothing is no object, or one with an error
+    assert {k: (r["size"], r["md5_hash"], r["error"]) for k, r in got.items() if k in made} == {k: (len(d), hashlib.md5(d).hexdigest(), None) for k, d in made.items()}
+    assert (got["top.mp4"]["content_type"], got["a/x.TXT"]["content_type"], got["a/deep/y"]["content_type"]) == ("video/mp4", "text/plain", "application/octet-stream")
+    assert all(r["updated"] is not None for r in got.values()) and df.rdd.getNumPartitions() == 3
+    one = spark.read.format("objects").option("path", f"file://{tmp_path}/top.mp4").load().collect()
+    assert [(r["size"], r["md5_hash"]) for r in one] == [(5, None)]
+    assert spark.read.format("objects").option("path", str(tmp_path / "none")).load().count() == 0
+
+
 def test_scalars_at_their_edges(spark):
     df = spark.createDataFrame([("\t x\n",), ("é",), ("a" * 200,), ("a" * 201,), ("",), (None,)], "t string")
     got = df.select(S.strip(F.col("t")), S.is_ascii(F.col("t")), F.length(S.preview(F.col("t"))), S.is_blank(F.col("t"))).collect()
