@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import documents as D
+from ..sources.shared import path_exists
 from . import relations as R
 
 INDEX = {
@@ -27,8 +28,7 @@ IN_INDEX = ("pending", "ready")
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a job has finished writing a table there."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return path_exists(spark, f"{path}/_SUCCESS")
 
 
 def in_folder(root: str, table: str, batch: int) -> str:
@@ -45,11 +45,6 @@ def read_log(spark: SparkSession, root: str, table: str, columns: dict[str, str]
     return rows.join(spark.read.schema("one int, batch int").parquet(f"{root}/done").select("batch"), "batch", "left_semi")
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def index_now(spark: SparkSession, root: str) -> DataFrame:
     """The index: one row for each result in it."""
     return R.current(read_log(spark, root, "index", INDEX), "result_id", "batch", "op").select(*INDEX)

@@ -18,6 +18,7 @@ from ..operators import search as V
 from ..operators import segments as G
 from ..operators import snapshots as N
 from ..sources.shared import new_path
+from ..streaming import lazy as L
 from .catalog import query, read
 from .composites import stripped
 
@@ -204,3 +205,16 @@ def search_answers(spark: SparkSession, d: str) -> DataFrame:
     first = F.get("recommendations", F.lit(0))
     out = answers.join(texts.select("query_id", "interpreted_query"), "query_id")
     return out.select("query_id", "interpreted_query", "response_text", F.size("recommendations").alias("recommended"), first["video_id"].alias("video_id"), first["title"].alias("title"), first["confidence"].alias("confidence"))
+
+
+@query("q90_lazy_embeddings", f"""
+    SELECT doc_id, CASE WHEN {stripped("coalesce(text, '')")} = '' THEN 'error' ELSE 'ready' END AS sync_status, true AS changed, CASE WHEN {stripped("coalesce(text, '')")} <> '' THEN 64 END AS dimensions FROM documents""")
+def lazy_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """All documents appended, their vectors filled in by the stream, and what a reader then sees."""
+    rows, out, checkpoint = (new_path(spark, x) for x in ("appended", "vectors", "checkpoint"))
+    docs = read(spark, d, "documents").select("doc_id", "text", F.lit("pending").alias("state"))
+    L.append(docs, 0, rows, "doc_id")
+    q = L.enrich_stream(spark, rows, "doc_id bigint, text string, state string", "doc_id", "text", out, checkpoint, availableNow=True)
+    q.awaitTermination()
+    seen = L.refreshed(spark, docs, out, "doc_id", "state")
+    return seen.join(L.vectors(spark, out, "doc_id", "bigint"), "doc_id", "left").select("doc_id", F.col("shown").alias("sync_status"), "changed", F.size("embedding").alias("dimensions"))
