@@ -65,3 +65,16 @@ def test_pipeline_as_a_whole(spark, sf, texts):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def test_a_full_cache_moves_no_text(spark, sf, monkeypatch):
+    cache = new_path(spark, "kept-cache")
+    token_counts.op2_token_counts(spark, sf, cache).count()
+    plans = []
+    real = token_counts.materialise
+    monkeypatch.setattr(token_counts, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    again = token_counts.op2_token_counts(spark, sf, cache)
+    plans.append(again._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 3
+    for plan in plans:  # nothing is encoded, and no aggregate or join carries a text to an exchange
+        assert "MapInPandas" not in plan and "first(__text" not in plan and "__in" not in plan
