@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DatetimeType, FractionalType
 
+from ..functions.scalars import cutoff
+
 
 def lookup(df: DataFrame, key: str, value) -> DataFrame:  # noqa: ANN001
     """The row of a key, or none.  The filter reaches the scan; no other file or row group is read whose bounds exclude it."""
@@ -26,6 +28,11 @@ def with_all(df: DataFrame, terms: dict[str, object | None]) -> DataFrame:
     return df
 
 
+def recent(df: DataFrame, terms: dict[str, object | None], at: str, now: Column, minutes: int) -> DataFrame:
+    """Rows equal to every term that is given, of the last ``minutes`` before ``now``; one exactly so old counts.  The filters reach the scan."""
+    return with_all(df, terms).where(F.col(at) >= cutoff(now, minutes))
+
+
 def among(df: DataFrame, key: str, values: list) -> DataFrame:
     """Rows whose key is one of a short list; of an empty list none, without a scan."""
     return df.where(F.col(key).isin(values)) if values else df.limit(0)

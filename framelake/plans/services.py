@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import documents as D
 from ..operators import admission as A
 from ..operators import index_sync as X
+from ..operators import providers as U
+from ..operators import relations as R
 from ..operators import search as V
 from ..operators import segments as G
 from ..operators import snapshots as N
@@ -132,10 +134,10 @@ def sync_errors(spark: SparkSession, d: str) -> DataFrame:
     return X.errors(X.sync_batch(spark, new_path(spark, "index"), 1, asked.unionByName(more), results, videos))
 
 
-@query("q86_snapshot_and_log", "SELECT user_id, value FROM (SELECT user_id, event_id, CASE WHEN event_type = 'login' THEN 'delete' ELSE 'set' END AS op, value FROM events) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND op <> 'delete'")
+@query("q86_snapshot_and_log", "SELECT user_id, value FROM (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'set' END AS op, value FROM events) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND op <> 'delete'")
 def snapshot_and_log(spark: SparkSession, d: str) -> DataFrame:
     """Two snapshots of earlier parts of the log, and the log since."""
-    log = read(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_type") == "login", "delete").otherwise("set").alias("op"), "value")
+    log = read(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_type") == "error", "delete").otherwise("set").alias("op"), "value")
     of, path, name = N.Log("user_id", "event_id"), new_path(spark, "snapshots"), f"users_{uuid.uuid4().hex}"
     for upto in log.agg(F.percentile_approx("event_id", [0.4, 0.8])).first()[0] or []:
         N.compact(spark, path, name, log, of, buckets=spark.sparkContext.defaultParallelism, upto=upto)
@@ -218,3 +220,32 @@ def lazy_embeddings(spark: SparkSession, d: str) -> DataFrame:
     q.awaitTermination()
     seen = L.refreshed(spark, docs, out, "doc_id", "state")
     return seen.join(L.vectors(spark, out, "doc_id", "bigint"), "doc_id", "left").select("doc_id", F.col("shown").alias("sync_status"), "changed", F.size("embedding").alias("dimensions"))
+
+
+@query("q91_recent_requests", "SELECT event_id, user_id FROM events WHERE event_type = 'click' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 2880 MINUTES")
+def recent_requests(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events")
+    now = e.agg(F.max("ts")).first()[0]
+    return R.recent(e, {"event_type": "click", "user_id": None}, "ts", F.lit(now).cast(e.schema["ts"].dataType), 2880).select("event_id", "user_id")
+
+
+def adapt(request: dict, digest: str) -> str:
+    """Stands for a model that adapts images, and knows no ratio ``odd``."""
+    if request["aspect_ratio"] == "odd":
+        raise ValueError("ratio")
+    return f'{{"input": {len(request["c_name"])}, "output": {len(request["aspect_ratio"])}}}'
+
+
+@query("q92_image_adapts", """
+    WITH j AS (SELECT c_custkey, c_name, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN ['1:1', '16:9'] WHEN 'BUILDING' THEN ['9:16', '9:16', 'odd'] WHEN 'MACHINERY' THEN ['odd'] WHEN 'FURNITURE' THEN [] END AS ratios FROM customer),
+    r AS (SELECT c_custkey, unnest(ratios) AS ratio FROM j)
+    SELECT c_custkey, coalesce(sum(CASE WHEN ratio <> 'odd' THEN length(c_name) END), 0)::BIGINT AS input_tokens, coalesce(sum(CASE WHEN ratio <> 'odd' THEN length(ratio) END), 0)::BIGINT AS output_tokens, count(*) FILTER (ratio <> 'odd') AS answered,
+      count(*) FILTER (ratio = 'odd') AS failed, CASE WHEN count(*) FILTER (ratio <> 'odd') = 0 AND count(*) FILTER (ratio = 'odd') > 0 THEN 'failed' ELSE 'completed' END AS status FROM j LEFT JOIN r USING (c_custkey) GROUP BY c_custkey""")
+def image_adapts(spark: SparkSession, d: str) -> DataFrame:
+    kinds = {"AUTOMOBILE": ["1:1", "16:9"], "BUILDING": ["9:16", "9:16", "odd"], "MACHINERY": ["odd"], "FURNITURE": []}
+    ratios = F.lit(None).cast("array<string>")
+    for segment, xs in kinds.items():
+        ratios = F.when(F.col("c_mktsegment") == segment, F.array(*[F.lit(x) for x in xs]).cast("array<string>")).otherwise(ratios)
+    jobs = read(spark, d, "customer").select("c_custkey", "c_name", ratios.alias("ratios"))
+    used = lambda a: (F.get_json_object(a, "$.input").cast("long"), F.get_json_object(a, "$.output").cast("long"))
+    return U.adapted(jobs, "c_custkey", "ratios", ["c_name"], adapt, new_path(spark, "adapts"), used)[1]
