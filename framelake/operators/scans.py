@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialise
+from ..sources.shared import discard, materialise
 
 #: A key with more rows is hot, or with more than a MOST_HOT-th of all: so at most MOST_HOT keys are, and they may be broadcast.
 HOT_ROWS, MOST_HOT = 2_000_000, 1_000
@@ -30,7 +30,10 @@ def hot_keys(rows: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame
     counts = materialise(rows.groupBy(*keys).agg(F.count("*").alias("__n")), "key-counts")
     total = counts.agg(F.sum("__n")).first()[0] or 0
     hot = counts.where(F.col("__n") > max(hot_rows, total // MOST_HOT))
-    return hot, hot.agg(F.sum("__n")).first()[0] or 0
+    n = hot.agg(F.sum("__n")).first()[0] or 0
+    if not n:
+        discard(counts)
+    return hot, n
 
 
 def split(rows: DataFrame, keys: list[str], hot_rows: int | None, plain: Callable[[DataFrame], DataFrame], dealt: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
