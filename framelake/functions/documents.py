@@ -111,9 +111,9 @@ def embedding_text(d: Column, raw: Column) -> Column:
     told = F.aggregate(scenes, F.struct(empty.alias("seen"), empty.alias("out")), step)["out"]
     notes = F.transform(F.filter(F.coalesce(d["notable_observations"], empty), lambda x: ~is_blank(x)), strip)
     parts = F.concat(F.filter(F.array(*labelled, summary, mood, setting), lambda x: x.isNotNull()), told, notes)
-    text = F.when(F.size(parts) > 0, F.array_join(parts, " "))
-    # Functions run before conditions choose, so only documents without parts are handed to Python.
-    return F.coalesce(text, all_text(F.when(F.size(parts) == 0, raw)), F.lit(""))
+    # Functions run before conditions choose, so a document with a summary, which surely has a part, isn't handed to Python.
+    rest = F.coalesce(all_text(F.when(filled(d["chunk_summary"]).isNull(), raw)), F.lit(""))
+    return F.when(F.size(parts) > 0, F.array_join(parts, " ")).otherwise(rest)
 
 
 def strings_in(x: Any, depth: int = 0) -> list[str]:

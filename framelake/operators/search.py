@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import confidence, filled, is_ascii, match_reason, strip
-from ..sources.shared import materialise, small_batches
+from ..sources.shared import discard, materialise, small_batches
 
 THRESHOLD = 1.1
 LIMIT = 20
@@ -45,7 +45,7 @@ def fallback_curation(hits: DataFrame, key: str, n: int = 10) -> DataFrame:
 
 
 #: Index rows and queries of one block, and parts of the index that each query is sent to.
-INDEX_ROWS, QUERY_ROWS, PARTS = 4_096, 512, 64
+INDEX_ROWS, QUERY_ROWS, PARTS = 4_096, 512, 16
 TEXT_LIMIT = 500
 NO_HITS = "No results found for your search query."
 
@@ -94,8 +94,11 @@ def vector_search_many(
     length aren't compared.  Empty sides give nothing; of repeated keys each is a row.
     """
     spark = index.sparkSession
-    blocks = packed(index, key, vector, INDEX_ROWS, parts).select("part", "width", "keys", "units")
-    asked = packed(queries, query_key, query_vector, QUERY_ROWS, max(1, parts // 8)).select("width", F.col("keys").alias("qkeys"), F.col("units").alias("qunits"))
+    # Blocks are written down, so that they are packed from large batches and paired in small ones.
+    blocks = materialise(packed(index, key, vector, INDEX_ROWS, parts), "index-blocks")
+    asked = materialise(packed(queries, query_key, query_vector, QUERY_ROWS, max(1, parts // 8)), "query-blocks")
+    tables = blocks, asked
+    asked = asked.select("width", F.col("keys").alias("qkeys"), F.col("units").alias("qunits"))
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     pairs = asked.join(blocks, ["part", "width"]).sortWithinPartitions("part", "width", "qkeys")
 
@@ -126,6 +129,7 @@ def vector_search_many(
 
     with small_batches(spark, 8):  # a row is two blocks, some MB
         local = materialise(pairs.mapInPandas(nearest, "query bigint, found bigint, distance double"), "nearest")
+    discard(*tables)
     place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "found"))
     top = local.withColumn("__r", place).where((F.col("__r") <= k) & (F.col("distance") < below))
     return top.select(F.col("query").alias(query_key), F.col("found").alias(key), "distance")
