@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import materialise, table, text_or_empty
+from .common import materialise, small_batches, table, text_or_empty
 
 #: A text of more characters is halved until its parts have no more; all joins of parts are re-encoded windows.
 LEAF_CHARS = 512
@@ -185,9 +185,18 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc
     return encoded.select(*[F.col(f"`{c}`") for c in encoded.columns if c != "text"], decode("ids").alias("text"))
 
 
+#: Texts that a Python worker holds at once.
+BATCH = 200
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    back = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path)
+    with small_batches(spark, BATCH):  # a long text's ids are some hundred KB
+        back = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path)
+        return materialise(digests(back), "round-trip")
+
+
+def digests(back: DataFrame) -> DataFrame:
     return back.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"), "joins")
