@@ -130,10 +130,11 @@ def build(rows: DataFrame, cell: int = CELL) -> tuple[MultiIndex | None, DataFra
             yield b[["rid", "id", "label"]].assign(x=[v.tobytes() for v in x], cell=i * len(books[1]) + j, r1=r1, r2=r2)
 
     placed = materialise(rows.select("rid", "id", "label", "x").mapInPandas(assign, "rid bigint, id bigint, label string, x binary, cell int, r1 double, r2 double"), "index")
-    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("r1").alias("r1"), F.max("r2").alias("r2")).toPandas()  # at most MAX_WORDS^2 rows
+    sizes = materialise(placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("r1").alias("r1"), F.max("r2").alias("r2")), "cells")
+    cells = sizes.toPandas()  # at most MAX_WORDS^2 rows
     index = MultiIndex(books[0], books[1], cells) if len(cells) else None
-    parts = F.create_map(*[F.lit(v) for c, m in zip(cells["cell"], cells["n"], strict=True) if m > cell for v in (int(c), int(-(-m // cell)))] or [F.lit(-1), F.lit(1)])
-    spread = placed.withColumn("block", F.pmod(F.xxhash64("rid"), F.coalesce(F.try_element_at(parts, F.col("cell")), F.lit(1))).cast("int"))
+    parts = F.broadcast(sizes.select("cell", F.ceil(F.col("n") / cell).alias("parts")))  # no literals: they would stand in each copy of the plan
+    spread = placed.join(parts, "cell").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
 
     def block(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values(["id", "rid"], kind="stable")
@@ -150,7 +151,8 @@ def search(queries: DataFrame, blocks: DataFrame, index: MultiIndex, same: bool,
     """(rid, key, score, id, other): for each window of each query its ``n`` best rows with the query's label (or with another one), ties by smaller id.
 
     queries: rid, label, x, windows (key, low, high): scores from low to high count.  Rounds visit each query's cells in the
-    order of its sequence.  A window is certified when it has n rows and no cell left can beat the last, or when none left can reach
+    order of its sequence.  Joins are by sorting: from a table's files, or from rows before an array is exploded, Spark takes these tables for far
+    smaller than they are, and would broadcast them through the driver.  A window is certified when it has n rows and no cell left can beat the last, or when none left can reach
     its low end; a query whose windows all are, leaves.  Nothing but the bounds ends a search, so the result is exact.
     """
     spark = queries.sparkSession
@@ -188,7 +190,7 @@ def search(queries: DataFrame, blocks: DataFrame, index: MultiIndex, same: bool,
                 yield pd.DataFrame(out, columns=["rid", "key", "score", "id", "other"]).astype("int64")
 
         with small_batches(spark, 16):
-            fresh = asked.join(blocks, "cell").select("qs", "rids", "ids", "labels", "xs").mapInPandas(score, "rid bigint, key bigint, score bigint, id bigint, other bigint")
+            fresh = blocks.join(asked.hint("merge"), "cell").select("qs", "rids", "ids", "labels", "xs").mapInPandas(score, "rid bigint, key bigint, score bigint, id bigint, other bigint")
             order = [F.col("score").desc(), "id", "other"]
             every = top.unionByName(fresh)
             local = every.withColumn("__p", F.spark_partition_id()).withColumn("__r", F.row_number().over(Window.partitionBy("rid", "key", "__p").orderBy(*order))).where(F.col("__r") <= n).drop("__r", "__p")
@@ -196,7 +198,7 @@ def search(queries: DataFrame, blocks: DataFrame, index: MultiIndex, same: bool,
             new_top = materialise(ranked, "best")
         full = new_top.groupBy("rid", "key").agg(F.count("*").alias("n"), F.min("score").alias("last")).where(F.col("n") == n)
         lasts = full.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("key", "last"))).alias("lasts"))  # a query's windows: few
-        left = planned.where("seen >= 0").drop("cells").join(lasts, "rid", "left")
+        left = planned.where("seen >= 0").drop("cells").join(lasts.hint("merge"), "rid", "left")
         need = F.transform("windows", lambda w: F.coalesce(F.try_element_at("lasts", w["key"]), w["low"]))
         new_state = materialise(left.select("rid", "label", "x", "windows", "seen", need.alias("needs")), "queries")
         discard(state, top, planned)
@@ -246,9 +248,9 @@ def hard_negatives(
     pairs = materialise(pairs.where("score >= 0").select("rid", "key", F.col("id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
     low = F.ceil(F.col("positive_score") * F.lit(floor_percent).cast("decimal(3,0)") / F.lit(100).cast("decimal(3,0)")).cast("long")
     windows = pairs.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("key", low.alias("low"), F.col("positive_score").alias("high")))).alias("windows"))
-    bad = search(anchors.join(windows, "rid").select("rid", "label", "x", "windows"), blocks, index, False, negatives)
+    bad = search(anchors.join(windows.hint("merge"), "rid").select("rid", "label", "x", "windows"), blocks, index, False, negatives)
     rank = F.row_number().over(Window.partitionBy("rid", "key").orderBy(F.col("score").desc(), "id", "other"))
-    out = bad.withColumn("rank", rank).join(pairs, ["rid", "key"]).join(anchors.select("rid", F.col("id").alias("anchor_id")), "rid")
+    out = bad.withColumn("rank", rank).join(pairs.hint("merge"), ["rid", "key"]).join(anchors.select("rid", F.col("id").alias("anchor_id")).hint("merge"), "rid")
     return out.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
 

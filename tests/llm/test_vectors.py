@@ -97,6 +97,21 @@ def test_hard_negatives(spark, cell):
     assert H.hard_negatives(rows.limit(0), rows["vec_id"] % 10 == 0).count() == 0
 
 
+def test_searches_broadcast_no_table_that_grows(spark, monkeypatch):
+    plans, real = [], H.materialise
+
+    def kept(df, name):
+        if name == "best":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(H, "materialise", kept)
+    r = np.random.default_rng(6)
+    rows = spark.createDataFrame([(k, f"l{k % 3}", [float(c) for c in r.normal(size=4)]) for k in range(300)], "vec_id long, label string, embedding array<double>")
+    assert H.hard_negatives(rows, rows["vec_id"] % 10 == 0, cell=12).count() > 50
+    assert sum("SortMergeJoin" in p for p in plans) >= 2 and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_cells_left_out_cannot_matter():
     r = np.random.default_rng(6)
     x = np.concatenate([r.normal(size=(40, 8)) * 3 + c for c in r.normal(size=(8, 8)) * 200]).round()
