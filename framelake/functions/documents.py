@@ -27,16 +27,27 @@ ANONYMOUS = "Person"
 TEXTS = (*LABELLED, "chunk_summary")
 
 
+def json_or_null(text: Column) -> Column:
+    """The JSON value that is the whole text; null if it isn't JSON, or if anything but white space follows the value.
+
+    Spark's parsers stop after the first value, so the text is parsed within a list and within an object: what could follow the value in
+    one of them (a bracket, or a comma and another value) can't in the other.
+    """
+    listed, nested = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    return F.when(listed.isNotNull(), F.try_variant_get(nested, "$.x", "variant"))
+
+
 def parse(text: Column) -> Column:
     """The document as a struct; bad JSON gives a struct of nulls.  A text field that holds no string is null, as is one of scenes that is no list."""
-    d, v = F.from_json(text, SCHEMA), F.try_parse_json(text)
+    v = json_or_null(text)
+    d = F.from_json(F.when(v.isNotNull(), text), SCHEMA)
     kept = [F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")) == "STRING", d[k]).alias(k) for k in TEXTS]
     return F.struct(*kept, *[d[k].alias(k) for k in ("prompt_type", "chunk_index", "token_usage", "finish_reason", "scenes", "notable_observations")])
 
 
 def parse_model_answer(text: Column) -> Column:
     """JSON of an answer that may be wrapped in a code fence; null if it isn't JSON."""
-    return F.try_parse_json(F.regexp_replace(strip(text), r"^```(?:json)?\s*|\s*```$", ""))
+    return json_or_null(F.regexp_replace(strip(text), r"^```(?:json)?\s*|\s*```$", ""))
 
 
 def answer_or_error(text: Column) -> Column:
@@ -48,7 +59,7 @@ def answer_or_error(text: Column) -> Column:
 
 def analysis_result(text: Column, reason: Column, structured: Column) -> Column:
     """struct(data, raw_text, raw_response, parse_error, finish_reason) of a model's answer: a failure to parse stays a row."""
-    data = F.try_parse_json(text)
+    data = json_or_null(text)
     bad = structured & data.isNull()
     return F.struct(
         F.when(structured, F.to_json(data)).alias("data"), F.when(~structured, text).alias("raw_text"), F.when(bad, text).alias("raw_response"),

@@ -50,6 +50,18 @@ def test_model_answers(spark, raw, good):
     assert free["raw_text"] == raw and free["parse_error"] is None
 
 
+REST = [("7100234916554344 With. That", False), ('{"a": 1} {"b": 2}', False), ('{"a": 1}]', False), ('{"a": 1}}', False), ('{"a": 1}, {"b": 2}', False), ('{"a": 1}, "y": 2', False), ('"a", "b": 2', False), ('"a"] , "b"', False), (' {"a": [1, "]}"]} \n', True), ("12", True), ("null", True), ('"a"', True), ("{}", True)]
+
+
+@pytest.mark.parametrize(("raw", "whole"), REST)
+def test_a_value_is_the_whole_text(spark, raw, whole):
+    """As by the json module."""
+    r = one(spark, raw).select(D.analysis_result(F.col("x"), F.lit("STOP"), F.lit(True)).alias("r"), D.parse(F.concat(F.lit('{"genre": "g"}'), F.col("x")))["genre"].alias("genre"), F.to_json(D.parse_model_answer(F.col("x"))).alias("answer")).first()
+    assert (r["r"]["parse_error"] is None) == whole and r["genre"] is None and (r["answer"] is not None) == whole
+    if whole:
+        assert json.loads(r["answer"]) == json.loads(raw)
+
+
 FLAT = [
     ({"a": [{"x": 1}, 3]}, {"a": '{"x":1} | 3'}), ({"a": [[1, 2], ["b"]]}, {"a[0].0": "1", "a[0].1": "2", "a[1].0": "b"}), ({"a": [[1], [2, 3]]}, {"a": "[1] | [2,3]"}), ({"a": [[], {}]}, {}), ({"a": [1, {"b": 2}, [3, None, 4]]}, {"a": "1; [object Object]; 3,,4"}), ({"a": [1, None, "b", True]}, {"a": "1; b; true"}), ({"a": []}, {"a": ""}), ({"a": {}}, {}), ({"a": None}, {"a": ""}),
     ({"a": [{"x": 1}, {"y": 2}]}, {"a": '{"x":1} | {"y":2}'}), ({"a": [{"x": 1, "y": 1e-5}, {"y": 2e-7}]}, {"a[0].x": "1", "a[0].y": "0.00001", "a[1].y": "2e-7"}), ({"a": [{"x": k} for k in range(11)]}, {"a": " | ".join(f'{{"x":{k}}}' for k in range(11))}),
