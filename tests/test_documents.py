@@ -50,6 +50,13 @@ def test_model_answers(spark, raw, good):
     assert free["raw_text"] == raw and free["parse_error"] is None
 
 
+def test_strip_tries_no_pattern_at_every_place(spark):
+    ends = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    rows = spark.createDataFrame([(f"{c}{d} a{c}{d}b {d}{c}",) for c in ends for d in (" ", "\u3000")] + [("",), (" \t",), ("é",)], "x string").select("x", S.strip(F.col("x")).alias("y"))
+    assert all(r["y"] == r["x"].strip() for r in rows.collect())
+    assert "regexp" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 REST = [("7100234916554344 With. That", False), ('{"a": 1} {"b": 2}', False), ('{"a": 1}]', False), ('{"a": 1}}', False), ('{"a": 1}, {"b": 2}', False), ('{"a": 1}, "y": 2', False), ('"a", "b": 2', False), ('"a"] , "b"', False), (' {"a": [1, "]}"]} \n', True), ("12", True), ("null", True), ('"a"', True), ("{}", True)]
 
 
