@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
@@ -27,6 +28,11 @@ ANONYMOUS = "Person"
 TEXTS = (*LABELLED, "chunk_summary")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def json_or_null(text: Column) -> Column:
     """The JSON value that is the whole text; null if it isn't JSON, or if anything but white space follows the value.
 
@@ -37,12 +43,16 @@ def json_or_null(text: Column) -> Column:
     return F.when(listed.isNotNull(), F.try_variant_get(nested, "$.x", "variant"))
 
 
-def parse(text: Column) -> Column:
-    """The document as a struct; bad JSON gives a struct of nulls.  A text field that holds no string is null, as is one of scenes that is no list."""
-    v = json_or_null(text)
-    d = F.from_json(F.when(v.isNotNull(), text), SCHEMA)
-    kept = [F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")) == "STRING", d[k]).alias(k) for k in TEXTS]
-    return F.struct(*kept, *[d[k].alias(k) for k in ("prompt_type", "chunk_index", "token_usage", "finish_reason", "scenes", "notable_observations")])
+def parse(text: Column, value: Column | None = None) -> Column:
+    """The document as a struct; bad JSON gives a struct of nulls.  A text field that holds no string is null, as is one of scenes that is no list.
+
+    ``value`` is the text's ``json_or_null`` where that is known.  The text is read once for all fields, also by a plan that names them one by one.
+    """
+    def fields(v: Column, d: Column) -> Column:
+        kept = [F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")) == "STRING", d[k]).alias(k) for k in TEXTS]
+        return F.struct(*kept, *[d[k].alias(k) for k in ("prompt_type", "chunk_index", "token_usage", "finish_reason", "scenes", "notable_observations")])
+
+    return let(json_or_null(text) if value is None else value, lambda v: let(F.from_json(F.when(v.isNotNull(), text), SCHEMA), lambda d: fields(v, d)))
 
 
 def parse_model_answer(text: Column) -> Column:
@@ -122,9 +132,10 @@ def embedding_text(d: Column, raw: Column) -> Column:
     told = F.aggregate(scenes, F.struct(empty.alias("seen"), empty.alias("out")), step)["out"]
     notes = F.transform(F.filter(F.coalesce(d["notable_observations"], empty), lambda x: ~is_blank(x)), strip)
     parts = F.concat(F.filter(F.array(*labelled, summary, mood, setting), lambda x: x.isNotNull()), told, notes)
+    joined = let(parts, lambda p: F.when(F.size(p) > 0, F.array_join(p, " ")))
     # Functions run before conditions choose, so a document with a summary, which surely has a part, isn't handed to Python.
     rest = F.coalesce(all_text(F.when(filled(d["chunk_summary"]).isNull(), raw)), F.lit(""))
-    return F.when(F.size(parts) > 0, F.array_join(parts, " ")).otherwise(rest)
+    return F.coalesce(joined, rest)
 
 
 def strings_in(x: Any, depth: int = 0) -> list[str]:

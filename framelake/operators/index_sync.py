@@ -59,10 +59,9 @@ def states_now(spark: SparkSession, root: str, results: DataFrame) -> DataFrame:
     return own.join(stored, F.col("r.result_id") == F.col("s.result_id"), "left").select("r.result_id", pick("bq_sync_status"), pick("bq_sync_error"))
 
 
-def object_or_null(raw: Column) -> Column:
-    """Whether a text is a JSON object; a missing one counts as an empty object."""
-    kind = F.schema_of_variant(F.try_parse_json(raw))
-    return raw.isNull() | F.coalesce(kind.startswith("OBJECT"), F.lit(False))
+def object_or_null(raw: Column, json: Column) -> Column:
+    """Whether a text, whose value is ``json``, is a JSON object; a missing one counts as an empty object."""
+    return raw.isNull() | F.coalesce(F.schema_of_variant(json).startswith("OBJECT"), F.lit(False))
 
 
 def decided(asked: DataFrame, results: DataFrame, states: DataFrame, videos: DataFrame, resync: bool) -> DataFrame:
@@ -74,18 +73,23 @@ def decided(asked: DataFrame, results: DataFrame, states: DataFrame, videos: Dat
     times = asked.where("result_id is not null").groupBy("result_id").agg(F.count("*").alias("times"))
     one = results.drop("bq_sync_status", "bq_sync_error").dropDuplicates(["result_id"]).withColumn("found", F.lit(True))
     rows = times.join(one, "result_id", "left").join(states.dropDuplicates(["result_id"]).select("result_id", "bq_sync_status"), "result_id", "left")
-    files = videos.select("video_id", F.struct("filename", "gcs_path").alias("file")).dropDuplicates(["video_id"])
-    rows = rows.withColumn("video_id", F.coalesce("video_id", F.lit(""))).join(files, "video_id", "left")
+    files = videos.dropDuplicates(["video_id"]).select(F.concat(F.lit("v"), "video_id").alias("of"), F.struct("filename", "gcs_path").alias("file"))
+    rows = rows.withColumn("video_id", F.coalesce("video_id", F.lit("")))
+    # Rows without a video have no file, and each a key of its own: with one key they would all be one task's, and so their texts.
+    of = F.when(F.col("video_id") != "", F.concat(F.lit("v"), "video_id")).otherwise(F.concat(F.lit("r"), "result_id"))
+    rows = rows.withColumn("of", of).join(files, "of", "left")
+    rows = rows.withColumn("json", D.json_or_null(F.col("result_data")))  # columns of their own: named many times below
     was_in = F.coalesce(F.col("bq_sync_status").isin(*IN_INDEX), F.lit(False))
-    action = F.when(F.col("found").isNull(), "not_found").when(was_in & ~F.lit(resync), "skip").when(~object_or_null(F.col("result_data")), "failed").otherwise("put")
+    action = F.when(F.col("found").isNull(), "not_found").when(was_in & ~F.lit(resync), "skip").when(~object_or_null(F.col("result_data"), F.col("json")), "failed").otherwise("put")
     error = F.when(F.col("action") == "not_found", F.concat(F.lit("Result "), F.col("result_id"), F.lit(" not found"))).when(F.col("action") == "failed", F.concat(F.lit("Result "), F.col("result_id"), F.lit(": result_data is no JSON object")))
     rows = rows.withColumn("was_in", was_in).withColumn("action", action).withColumn("error", error)
     raw, put = F.col("result_data"), F.col("action") == "put"
+    rows = rows.withColumn("parsed", D.parse(F.when(put, raw), F.when(put, F.col("json"))))
     of_video = lambda c: F.when(F.col("video_id") != "", F.coalesce(F.col(f"file.{c}"), F.lit("")))
-    nested = F.try_variant_get(F.try_parse_json(raw), "$.chunk_index", "bigint")
+    nested = F.try_variant_get("json", "$.chunk_index", "bigint")
     built = {
         "video_filename": of_video("filename"), "gcs_path": of_video("gcs_path"), "chunk_index": F.coalesce("chunk_index", nested), "result_data_json": F.when(~F.coalesce(raw.rlike(r"^\s*\{\s*\}\s*$"), F.lit(True)), raw),
-        "text_content": D.embedding_text(D.parse(F.when(put, raw)), F.when(put, raw)),
+        "text_content": D.embedding_text(F.col("parsed"), F.when(put, raw)),
     }
     value = lambda c: F.when(put, built.get(c, F.col(c))).cast(INDEX[c]).alias(c) if c != "result_id" else F.col(c)
     return rows.select(*[value(c) for c in INDEX], "action", "error", "times", "was_in")

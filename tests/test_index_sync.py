@@ -89,6 +89,22 @@ def test_a_run_that_dies_is_not_seen_and_done_again(spark, tmp_path, results, vi
     assert index(spark, root) == {k: ROWS[k] for k in "acf"}
 
 
+def test_rows_without_a_video_are_spread_and_texts_are_read_once(spark, results, videos):
+    keys = spark.range(200).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("result_id"))
+    asked, conf = keys.unionByName(results.select("result_id")), {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = X.decided(asked, results, results.select("result_id", "bq_sync_status"), videos, False)
+        at = rows.select("action", "gcs_path", F.spark_partition_id().alias("at")).collect()
+        assert len({r["at"] for r in at if r["action"] == "not_found"}) > 1
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def test_empty_tables(spark, tmp_path, results, videos, asked):
     X.sync_batch(spark, str(tmp_path), 1, asked.limit(0), results.limit(0), videos.limit(0))
     assert index(spark, str(tmp_path)) == {}
